@@ -8,15 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import exact_dedup, packing
+    from . import exact_dedup, line_dedup, packing, url_filter
 
     return {
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+        "op4_line_dedup": line_dedup.op4_line_dedup,
+        "op8_url_filters": url_filter.op8_url_filters,
         "op9_packing": packing.op9_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import exact_dedup
+    from . import exact_dedup, line_dedup
 
-    return {"op3_exact_dedup": exact_dedup.OP3_SQL}
+    return {"op3_exact_dedup": exact_dedup.OP3_SQL, "op4_line_dedup": line_dedup.OP4_SQL}
