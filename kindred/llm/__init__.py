@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import exact_dedup, line_dedup, packing, url_filter
+    from . import exact_dedup, line_dedup, ngram_join, packing, url_filter
 
     return {
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op4_line_dedup": line_dedup.op4_line_dedup,
+        "op7_ngram_jaccard_join": ngram_join.op7_ngram_jaccard_join,
         "op8_url_filters": url_filter.op8_url_filters,
         "op9_packing": packing.op9_packing,
     }
