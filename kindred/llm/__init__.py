@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import exact_dedup, line_dedup, ngram_join, packing, url_filter
+    from . import exact_dedup, line_dedup, ngram_join, packing, suffix_dedup, url_filter, window_dedup
 
     return {
+        "op1_suffix_array_dedup": suffix_dedup.op1_suffix_array_dedup,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op4_line_dedup": line_dedup.op4_line_dedup,
+        "op6_substring_dedup": window_dedup.op6_substring_dedup,
         "op7_ngram_jaccard_join": ngram_join.op7_ngram_jaccard_join,
         "op8_url_filters": url_filter.op8_url_filters,
         "op9_packing": packing.op9_packing,

@@ -65,8 +65,8 @@ class RangeHash:
         return mix((self.sums[width:] - self.sums[:n]) * self.down[:n])
 
 
-def pieces(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, offsets) of runs of rows of about CHUNK_BYTES; null is empty."""
+def pieces(texts: pa.Array | pa.ChunkedArray, size: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, offsets) of runs of rows of about ``size`` bytes; null is empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -78,7 +78,7 @@ def pieces(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray,
     data = np.frombuffer(texts.buffers()[2], dtype=np.uint8) if texts.buffers()[2] else np.zeros(0, np.uint8)
     at = 0
     while at < len(texts):
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK_BYTES, side="right")) - 1)
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1)
         yield at, data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
         at = end
 
@@ -120,32 +120,22 @@ def shingles(word: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, n
     return mix(total[at]), text_of[at], at
 
 
+_PLACE = 30  # low bits that hold a position while minima are taken
+
+
 def minimisers(hashes: np.ndarray, width: int) -> np.ndarray:
-    """For each run of ``width`` hashes the position of its smallest (the first of equals)."""
+    """For each run of ``width`` hashes the position of the smallest by its high bits, the first of equals."""
     n = len(hashes) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    # block prefix and suffix minima (van Herk): two passes for any width
-    pad = -len(hashes) % width
-    order = np.concatenate([hashes, np.full(pad, U(0xFFFFFFFFFFFFFFFF))]).reshape(-1, width)
-    low = np.minimum.accumulate(order, axis=1).ravel()
-    high = np.minimum.accumulate(order[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(high[:n], low[width - 1 : width - 1 + n])
-    # position: the last change of the minimum, found by the next equal hash at or after the start
-    where = np.arange(len(hashes))
-    hit = np.flatnonzero(np.isin(hashes, least))
-    del where
-    # among candidate positions, the first at or after the window's start with that hash
-    key = np.lexsort((hit, hashes[hit]))
-    h, p = hashes[hit][key], hit[key]
-    lo = np.searchsorted(h, least, side="left")
-    size = np.searchsorted(h, least, side="right") - lo
-    out = p[lo]
-    late = np.flatnonzero((out < np.arange(n)) & (size > 1))
-    for i in late:  # repeated hashes only
-        seg = p[lo[i] : lo[i] + size[i]]
-        out[i] = seg[np.searchsorted(seg, i)]
-    return out
+    low = U((1 << _PLACE) - 1)
+    # block-wise prefix and suffix minima: two passes whatever the width
+    both = np.full(len(hashes) + -len(hashes) % width, ~U(0))
+    both[: len(hashes)] = (hashes & ~low) | np.arange(len(hashes), dtype=U)
+    both = both.reshape(-1, width)
+    ahead = np.minimum.accumulate(both, axis=1).ravel()
+    behind = np.minimum.accumulate(both[:, ::-1], axis=1)[:, ::-1].ravel()
+    return (np.minimum(behind[:n], ahead[width - 1 : width - 1 + n]) & low).astype(np.int64)
 
 
 def merge(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
