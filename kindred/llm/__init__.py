@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import exact_dedup, line_dedup, ngram_join, packing, suffix_dedup, url_filter, window_dedup
+    from . import exact_dedup, language_id, line_dedup, ngram_join, packing, suffix_dedup, url_filter, window_dedup
 
     return {
         "op1_suffix_array_dedup": suffix_dedup.op1_suffix_array_dedup,
+        "op2_language_id": language_id.op2_language_id,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op4_line_dedup": line_dedup.op4_line_dedup,
         "op6_substring_dedup": window_dedup.op6_substring_dedup,
