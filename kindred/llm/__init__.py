@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import exact_dedup, language_id, line_dedup, ngram_join, packing, suffix_dedup, url_filter, window_dedup
+    from . import decontaminate, exact_dedup, language_id, line_dedup, ngram_join, packing, suffix_dedup, url_filter, window_dedup
 
     return {
         "op1_suffix_array_dedup": suffix_dedup.op1_suffix_array_dedup,
         "op2_language_id": language_id.op2_language_id,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op4_line_dedup": line_dedup.op4_line_dedup,
+        "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
         "op6_substring_dedup": window_dedup.op6_substring_dedup,
         "op7_ngram_jaccard_join": ngram_join.op7_ngram_jaccard_join,
         "op8_url_filters": url_filter.op8_url_filters,
