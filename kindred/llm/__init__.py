@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import decontaminate, exact_dedup, language_id, line_dedup, ngram_join, packing, suffix_dedup, url_filter, window_dedup
+    from . import decontaminate, exact_dedup, language_id, license_scan, line_dedup, ngram_join, packing, suffix_dedup, url_filter, window_dedup
 
     return {
         "op1_suffix_array_dedup": suffix_dedup.op1_suffix_array_dedup,
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_ngram_jaccard_join": ngram_join.op7_ngram_jaccard_join,
         "op8_url_filters": url_filter.op8_url_filters,
         "op9_packing": packing.op9_packing,
+        "op10_license_scan": license_scan.op10_license_scan,
     }
 
 

@@ -39,7 +39,7 @@ MIN_SEEDS = 2
 CELLS = 1 << 16
 
 
-def _words(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def word_runs(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, word hashes, each text's first word) of runs of rows."""
     at = 0
     while at < len(texts):
@@ -56,7 +56,7 @@ def _words(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for row, word, first in _words([t or "" for t in b.column(1).to_pylist()]):
+        for row, word, first in word_runs([t or "" for t in b.column(1).to_pylist()]):
             yield pa.RecordBatch.from_arrays([b.column(0).slice(row, len(first) - 1), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(word.view(np.int64)))], names=["item_id", "words"])
 
 
@@ -70,7 +70,7 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _hits(table: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row, word, first in _words([t or "" for t in b.column(2).to_pylist()]):
+            for row, word, first in word_runs([t or "" for t in b.column(2).to_pylist()]):
                 hashes, text, at = spans.shingles(word, first, SEED)
                 bit = hashes >> U(64 - TABLE_BITS)
                 hit = np.flatnonzero((table[(bit >> U(6)).astype(np.int64)] >> (bit & U(63))) & U(1))
@@ -133,7 +133,7 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             waiting, widest = [], 0
 
         candidates = b.column(2).to_pylist()
-        for row, word, first in _words([t or "" for t in b.column(1).to_pylist()]):
+        for row, word, first in word_runs([t or "" for t in b.column(1).to_pylist()]):
             for k in range(len(first) - 1):
                 mine = word[first[k] : first[k + 1]]
                 for c in candidates[row + k]:
