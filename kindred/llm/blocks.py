@@ -2,7 +2,8 @@
 
 Each task deals its hashes out by their high part and sends, for each target
 partition, one packed block: the text ids, how many hashes each has there, and
-the low 32 bits.  A hash that several texts of one block share is known to be
+the low 32 bits.  Counts come back block by block and are added up for each
+run of rows, so the rows that travel are blocks, not texts.  A hash that several texts of one block share is known to be
 shared and travels once, without its owners, so that even a hash that every
 text holds costs one entry for each block.
 """
@@ -15,8 +16,8 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-SCHEMA = "key int, ids binary, counts binary, low binary, shared binary"
-_ARROW = pa.schema([("key", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("low", pa.binary()), ("shared", pa.binary())])
+SCHEMA = "key int, chunk long, ids binary, counts binary, low binary, shared binary"
+_ARROW = pa.schema([("key", pa.int32()), ("chunk", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary()), ("low", pa.binary()), ("shared", pa.binary())])
 
 
 def _murmur3_int(value: int, seed: int = 42) -> int:
@@ -45,8 +46,8 @@ def keys_for(partitions: int) -> np.ndarray:
     return out
 
 
-def deal(ids: np.ndarray, owner: np.ndarray, hashes: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Blocks of distinct (owner, hash) pairs; owner: position in ids."""
+def deal(ids: np.ndarray, owner: np.ndarray, hashes: np.ndarray, keys: np.ndarray, chunk: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of distinct (owner, hash) pairs; owner: position in ids; chunk: a number of this run of rows."""
     n = len(keys)
     part = ((hashes >> U(32)) * U(n) >> U(32)).astype(np.int64)
     low = (hashes & U(0xFFFFFFFF)).astype(np.uint32)
@@ -69,39 +70,62 @@ def deal(ids: np.ndarray, owner: np.ndarray, hashes: np.ndarray, keys: np.ndarra
         who, counts = np.unique(owner[mine], return_counts=True)
         for c, v in zip(cols, (ids[who], counts.astype(np.uint32), low[mine], low[one[cut1[p] : cut1[p + 1]]]), strict=True):
             c.append(v.tobytes())
-    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], schema=_ARROW)
+    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([chunk] * n), *(pa.array(c, pa.binary()) for c in cols)], schema=_ARROW)
     # what the block itself shows: its texts' own shared hashes; to any partition
     who, counts = np.unique(owner[shared], return_counts=True)
     if len(who):
-        yield pa.RecordBatch.from_arrays([pa.array(keys[[ids[who[0]] % n]], pa.int32()), pa.array([ids[who].tobytes()]), pa.array([counts.astype(np.uint32).tobytes()]), pa.array([None], pa.binary()), pa.array([None], pa.binary())], schema=_ARROW)
+        yield pa.RecordBatch.from_arrays([pa.array(keys[[chunk % n]], pa.int32()), pa.array([chunk]), pa.array([ids[who].tobytes()]), pa.array([counts.astype(np.uint32).tobytes()]), pa.array([None], pa.binary()), pa.array([None], pa.binary())], schema=_ARROW)
+
+
+COUNTS = "chunk long, ids binary, counts binary"
+
+
+def _counts(chunk: int, ids: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([ids.tobytes()]), pa.array([counts.astype(np.uint32).tobytes()])], names=["chunk", "ids", "counts"])
 
 
 def shared_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One partition's blocks to (id, number of its hashes here that another text has too)."""
-    ids, low, shared, ready = [], [], [], []
+    """One partition's blocks: for each, how many of its texts' hashes here another text has too."""
+    chunks, ids, low, shared = [], [], [], []
     for b in batches:
-        for i, c, lo, sh in zip(*(col.to_pylist() for col in b.columns[1:]), strict=True):
+        for chunk, i, c, lo, sh in zip(*(col.to_pylist() for col in b.columns[1:]), strict=True):
             i, c = np.frombuffer(i, np.int64), np.frombuffer(c, np.uint32)
             if lo is None:
-                ready.append((i, c))
+                yield _counts(chunk, i, c)
                 continue
+            chunks.append(chunk)
             ids.append(np.repeat(i, c))
             low.append(np.frombuffer(lo, np.uint32))
             shared.append(np.frombuffer(sh, np.uint32))
-    who, hs = (np.concatenate([*x, np.zeros(0, t)]) for x, t in ((ids, np.int64), (low, np.uint32)))
-    del ids, low
-    sure = np.unique(np.concatenate([*shared, np.zeros(0, np.uint32)]))
+    if not chunks:
+        return
+    sure = np.unique(np.concatenate(shared))
+    size = np.array([len(x) for x in low])
+    hs = np.concatenate(low)
+    del low, shared
     order = np.argsort(hs, kind="stable")
     s = hs[order]
     hit = np.zeros(len(s), dtype=bool)
-    if len(s):
-        same = s[1:] == s[:-1]
-        hit[1:] |= same
-        hit[:-1] |= same
-        if len(sure):
-            hit |= sure[np.minimum(np.searchsorted(sure, s), len(sure) - 1)] == s
-    found = who[order[hit]]
-    who, counts = np.unique(found, return_counts=True)
-    for i, c in [(who, counts), *ready]:
-        if len(i):
-            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(c.astype(np.int64))], names=["id", "n"])
+    same = s[1:] == s[:-1]
+    hit[1:] |= same
+    hit[:-1] |= same
+    if len(sure) and len(s):
+        hit |= sure[np.minimum(np.searchsorted(sure, s), len(sure) - 1)] == s
+    found = np.zeros(len(hs), dtype=bool)
+    found[order[hit]] = True
+    ends = np.cumsum(size)
+    for chunk, who, end in zip(chunks, ids, ends.tolist(), strict=True):
+        mine, counts = np.unique(who[found[end - len(who) : end]], return_counts=True)
+        if len(mine):
+            yield _counts(chunk, mine, counts)
+
+
+def add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, n) from all counts of whole chunks."""
+    ids, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+    for b in batches:
+        ids += [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
+        counts += [np.frombuffer(x, np.uint32) for x in b.column(2).to_pylist()]
+    who, of = np.unique(np.concatenate(ids), return_inverse=True)
+    total = np.bincount(of, weights=np.concatenate(counts), minlength=len(who)).astype(np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(total)], names=["id", "n"])

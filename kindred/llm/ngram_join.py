@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,10 +81,12 @@ def _info(n: int):
 
 def _deal(n: int, keys: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
         for b in batches:
             ids = b.column(0).to_numpy()
             for at, rows, owner, hashes in shingle_sets(b.column(1), n):
-                yield from blocks.deal(ids[at : at + rows], owner, hashes, keys)
+                yield from blocks.deal(ids[at : at + rows], owner, hashes, keys, chunk)
+                chunk += 1
 
     return run
 
@@ -163,11 +166,13 @@ class _Join:
         self.checked: DataFrame | None = None
 
     def pairs(self, left: DataFrame, right: DataFrame, also: Column) -> DataFrame:
-        """Distinct pairs (a < b) that share a prefix hash and pass the length and positional filters."""
+        """Distinct pairs (a < b) that share a prefix hash and pass the length, positional and suffix filters."""
         l, r = left.alias("l"), right.alias("r")
         na, nb = F.col("l.n"), F.col("r.n")
         rest = F.least(na - F.col("l.pos"), nb - F.col("r.pos"))
-        passes = (F.least(na, nb) * 100 >= self.t * F.greatest(na, nb)) & (rest >= _needed(na, nb, self.t)) & (F.col("l.rep") != F.col("r.rep"))
+        need = _needed(na, nb, self.t)
+        differ = sum((F.bit_count(F.get("l.parity", F.lit(k)).bitwiseXOR(F.get("r.parity", F.lit(k)))) for k in range(PARITY_WORDS)), F.lit(0))
+        passes = (F.least(na, nb) * 100 >= self.t * F.greatest(na, nb)) & (rest >= need) & (F.col("l.rep") != F.col("r.rep")) & (differ <= na + nb - 2 * need)
         a_first = F.col("l.rep") < F.col("r.rep")
         out = l.join(r, F.col("l.h") == F.col("r.h")).filter(passes & also)
         return out.select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b"), F.when(a_first, na).otherwise(nb).alias("na"), F.when(a_first, nb).otherwise(na).alias("nb")).distinct()
@@ -179,11 +184,7 @@ class _Join:
         pairs = keep(pairs, "ngram-pairs")
         seen = pairs.select("a", "b")
         self.checked = seen if self.checked is None else self.checked.unionByName(seen)
-        bits = self.sets.select("rep", "parity")
-        near = pairs.join(bits.select(F.col("rep").alias("a"), F.col("parity").alias("pa")), "a").join(bits.select(F.col("rep").alias("b"), F.col("parity").alias("pb")), "b")
-        apart = sum((F.bit_count(F.get("pa", F.lit(k)).bitwiseXOR(F.get("pb", F.lit(k)))) for k in range(PARITY_WORDS)), F.lit(0))
-        need = _needed(F.col("na"), F.col("nb"), self.t)
-        near = near.filter(apart <= F.col("na") + F.col("nb") - 2 * need).select("a", "b", need.alias("need"))
+        near = pairs.select("a", "b", _needed(F.col("na"), F.col("nb"), self.t).alias("need"))
         whole = self.sets.select("rep", "hashes")
         both = near.join(whole.select(F.col("rep").alias("a"), F.col("hashes").alias("ha")), "a").join(whole.select(F.col("rep").alias("b"), F.col("hashes").alias("hb")), "b")
         return keep(both.filter(F.size(F.array_intersect("ha", "hb")) >= F.col("need")).select("a", "b").distinct(), "ngram-links")
@@ -196,7 +197,8 @@ class _Join:
         else:
             rows = rows.join(roots, rows["rep"] == roots["node"], "left").select(*rows.columns, F.coalesce("root", "rep").alias("c"))
         mixed = rows.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("h")
-        return keep(rows.join(mixed, "h", "left_semi"), "ngram-prefixes")
+        bits = self.sets.select("rep", "parity")
+        return keep(rows.join(mixed, "h", "left_semi").join(bits, "rep"), "ngram-prefixes")
 
     def run(self, hubs: int = 2) -> DataFrame:
         """(node, root) of all that link with anything."""
@@ -205,7 +207,7 @@ class _Join:
             rows = self.labelled(roots)
             apart = F.col("l.c") != F.col("r.c")
             if k < hubs:
-                hub = rows.groupBy("h").agg(F.min_by(F.struct("rep", "n", "pos", "c"), F.xxhash64("rep", "h", F.lit(k))).alias("x")).select("h", "x.*")
+                hub = rows.groupBy("h").agg(F.min_by(F.struct("rep", "n", "pos", "c", "parity"), F.xxhash64("rep", "h", F.lit(k))).alias("x")).select("h", "x.*")
                 pairs = self.pairs(rows, hub, apart)
             else:
                 most = rows.groupBy("h", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(F.max_by("c", F.struct("k", "c")).alias("most"))
@@ -224,7 +226,8 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     known = rows.filter("doc_id is not null")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = known.mapInArrow(_deal(words, blocks.keys_for(parts)), blocks.SCHEMA).repartition(parts, "key")
-    shared = dealt.mapInArrow(blocks.shared_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("shared"))
+    counted = dealt.mapInArrow(blocks.shared_counts, blocks.COUNTS).repartition(parts, "chunk")
+    shared = counted.mapInArrow(blocks.add_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("shared"))
     could = info.filter("n > 0").join(shared, F.col("doc_id") == F.col("id")).filter(F.col("shared") * 100 >= threshold * F.col("n")).select("doc_id", "digest")
     classes = could.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     member = keep(could.join(classes, "digest").select("doc_id", "rep").distinct(), "ngram-members")
