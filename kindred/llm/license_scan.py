@@ -102,7 +102,7 @@ def _scan(templates: dict[str, str], min_coverage: float):
                 which = at[some]
                 for t, name in enumerate(names):
                     n = len(lists[t])
-                    need, reach = int(np.ceil(min_coverage * n)), n + max(2, n // 4)
+                    need, reach = int(np.ceil(min_coverage * n)), n + n // 4
                     hits = some[marks[t, which]]
                     if len(hits) < need:
                         continue

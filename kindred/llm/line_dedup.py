@@ -46,12 +46,12 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     gone = repeated_windows(docs, id_col=id_col, text_col=text_col, window=window)
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     rows = docs.select(*names).alias("d")
-    joined = rows.join(gone, F.col(f"d.{id_col}").eqNullSafe(F.col("__id")) & (F.xxhash64(f"d.{text_col}") == F.col("__hash")), "left")
+    joined = rows.join(gone, F.col(f"d.`{id_col}`").eqNullSafe(F.col("__id")) & (F.xxhash64(f"d.`{text_col}`") == F.col("__hash")), "left")
     lines = _lines(F.col(text_col))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__lines")), lambda i: F.get(lines, i))
     text = F.when(F.col("__lines").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     return joined.select(
-        *(text.alias(c) if c == text_col else F.col(f"d.{c}") for c in names),
+        *(text.alias(c) if c == text_col else F.col(f"d.`{c}`") for c in names),
         F.size(lines).cast("long").alias("n_lines"),
         F.when(F.col("__lines").isNull(), 0).otherwise(F.size("__lines")).cast("long").alias("n_removed"),
     )
