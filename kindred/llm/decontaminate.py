@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import spans
 from .ngram_join import BROADCAST_IDS
 from .store import keep
-from .superkmers import keyed
+from .superkmers import doc_id, keyed
 
 U = np.uint64
 SEED = 3
@@ -165,7 +165,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     table = np.zeros(1 << (TABLE_BITS - 6), U)
     for word, bits in seeds.groupBy(F.shiftright(bit, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - TABLE_BITS}) & 63 as int))"))).collect():  # the table's size at most
         table[word] = bits & 0xFFFFFFFFFFFFFFFF
-    given = rows.select("__id", "__hash", "text").mapInArrow(_hits(table), "__id long, __hash long, h array<long>, pos array<long>")
+    given = rows.mapInArrow(_hits(table), "__id long, __hash long, h array<long>, pos array<long>")
     given = given.select("__id", "__hash", F.explode(F.arrays_zip("h", "pos")).alias("x")).select("__id", "__hash", "x.h", "x.pos")
     hits = keep(given.join(seeds, "h"), "seed-hits")
     frequency = hits.select("h", "__id", "__hash").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("df"))
@@ -182,7 +182,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     few = wanted.agg(F.sum(F.size("items"))).first()[0] or 0
     if few * 1000 <= BROADCAST_IDS * 8:  # rows of some hundred bytes
         wanted = F.broadcast(wanted)
-    aligned = rows.join(wanted, ["__id", "__hash"]).select("doc_id", "text", "items").mapInArrow(_align, "doc_id long, item_id long, score double, start_word long, end_word long")
+    aligned = rows.join(wanted, ["__id", "__hash"]).select(doc_id(), "text", "items").mapInArrow(_align, "doc_id long, item_id long, score double, start_word long, end_word long")
     return aligned.filter(F.col("score") >= min_score).groupBy("doc_id", "item_id").agg(F.max_by(F.struct("score", "start_word", "end_word"), F.struct("score", -F.col("start_word"))).alias("x")).select("doc_id", "item_id", F.round("x.score", 6).alias("score"), "x.start_word", "x.end_word")
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import spans
-from .superkmers import HOT_STRINGS, Block, Unit, keyed, repeated_ranges
+from .superkmers import HOT_STRINGS, Block, Unit, doc_id, keyed, repeated_ranges
 
 WIDTH, K = 200, 32
 PERIOD = 64
@@ -181,8 +181,8 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _joined(docs: DataFrame, id_col: str, text_col: str, width: int, k: int, hot: int) -> DataFrame:
     rows = keyed(docs, id_col, text_col)
-    gone = repeated_ranges(rows.select("__id", "__hash", "text"), Unit(words=False, width=width, k=k, smaller_id=False, hot=hot), _find(width), "bytes")
-    return rows.join(gone, ["__id", "__hash"], "left").select("doc_id", "text", "ranges")
+    gone = repeated_ranges(rows, Unit(words=False, width=width, k=k, smaller_id=False, hot=hot), _find(width), "bytes")
+    return rows.join(gone, ["__id", "__hash"], "left").select(doc_id(), "text", "ranges")
 
 
 def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, k: int = K, hot: int = HOT_STRINGS) -> DataFrame:

@@ -29,7 +29,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
@@ -262,4 +262,10 @@ def repeated_ranges(rows: DataFrame, unit: Unit, find: Find, name: str) -> DataF
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("__id"), F.xxhash64(text_col).alias("__hash"), F.col(text_col).alias("text"))
+    """(__id, __hash, text).  Both uses of the texts read these columns only, so that they share one shuffle."""
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("__id"), F.xxhash64(text_col).alias("__hash"), F.col(text_col).alias("text"))
+
+
+def doc_id() -> Column:
+    """The id again (the smallest long stands for null)."""
+    return F.when(F.col("__id") != NULL_ID, F.col("__id")).alias("doc_id")
