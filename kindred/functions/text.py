@@ -40,7 +40,7 @@ def romanisation() -> dict[str, str]:
             out[c] = name.rsplit(" ", 1)[1].lower()
             continue
         plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-        plain = "".join(out.get(x, x) for x in plain)
+        plain = "".join(out.get(x, x) for x in plain).replace("⁄", "/")
         if plain.isascii() and plain.strip():
             out[c] = plain
     return out
@@ -56,8 +56,9 @@ def romanise(x: Column) -> Column:
     single = {k: v for k, v in table.items() if len(v) == 1}
     longer = {k: v for k, v in table.items() if len(v) > 1}
     simple = F.translate(x, "".join(single), "".join(single.values()))
-    by_letter = F.create_map(*(F.lit(y) for pair in longer.items() for y in pair))
-    lead, vowel, tail = (F.array(*map(F.lit, part)) for part in (_LEAD, _VOWEL, _TAIL))
+    # a few foldable expressions instead of hundreds of literals
+    by_letter = F.map_from_arrays(F.split(F.lit(" ".join(longer)), " "), F.split(F.lit(" ".join(longer.values())), " "))
+    lead, vowel, tail = (F.split(F.lit(",".join(part)), ",", -1) for part in (_LEAD, _VOWEL, _TAIL))
 
     def letter(c: Column) -> Column:
         code = F.ascii(c)

@@ -60,17 +60,19 @@ def _within(requests: DataFrame, creators: DataFrame, column: str, index_of, blo
 def lookup(requests: DataFrame, engine: Engine, threshold: float = THRESHOLD, *, clean: bool = False) -> DataFrame:
     """All requests (req_id, artist, release, recording) with their match, or nulls.
 
-    ``clean``: requests whose creator is not found are tried once more with the cleaned name.
+    ``clean``: requests whose creator is not found are tried once more with the cleaned name.  The hits, a few
+    rows for each request, are cached (``spark.catalog.clearCache()`` frees them).
     """
     asked = requests.select("req_id", "artist", F.coalesce("release", F.lit("")).alias("release"), "recording")
     creators = creator_hits(asked, engine.creators, threshold)
     if clean:
         again = asked.join(creators.select("req_id").distinct(), "req_id", "left_anti").withColumn("artist", clean_name(F.col("artist")))
         creators = creators.unionByName(creator_hits(again, engine.creators, threshold))
+    creators = creators.persist()  # hits are used several times
     items = _within(asked, creators, "recording", items_index, engine.blocks, threshold)
     order = Window.partitionBy("req_id").orderBy("a_rank", "rank")
     pairs = items.join(creators, ["req_id", "creator"]).join(asked.select("req_id", "release"), "req_id")
-    pairs = pairs.select("req_id", "creator", "release", F.col("pos").alias("recording_pos"), F.col("entity_id").alias("item"), F.col("confidence").alias("item_confidence"), "a_rank", "rank", F.row_number().over(order).alias("k"))
+    pairs = pairs.select("req_id", "creator", "release", F.col("pos").alias("recording_pos"), F.col("entity_id").alias("item"), F.col("confidence").alias("item_confidence"), "a_rank", "rank", F.row_number().over(order).alias("k")).persist()
     linked = engine.links.select(F.col("block").alias("creator"), "recording_pos", "recording_id", "release_pos", "release_id")
     # with a collection: the best hit for it in each creator's block
     wanted = _within(asked.filter("release <> ''"), creators, "release", collections_index, engine.blocks, threshold).filter("rank = 1")

@@ -156,9 +156,9 @@ def _hits_sql(docs: str, queries: str, threshold: float = 0.7, rerank: bool = Tr
     return f"WITH {_docs(docs)}, {_docs(queries, 'asked', 'q')}, {_weights()}, {_search('asked', threshold, rerank=rerank)} SELECT q, pos, text, round(confidence, 4) AS confidence, rank FROM hits"
 
 
-@query(f"SELECT doc_id, {_enc('substr(text, 1, 200)')} AS encoded, {_odd('substr(text, 1, 200)')} AS symbols FROM documents UNION ALL SELECT p_partkey, {_enc('p_name')}, {_odd('p_name')} FROM part")
+@query(f"SELECT doc_id, {_enc('text')} AS encoded, {_odd('text')} AS symbols FROM documents UNION ALL SELECT p_partkey, {_enc('p_name')}, {_odd('p_name')} FROM part")
 def encode_names(spark: SparkSession, d: str) -> DataFrame:
-    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.substring("text", 1, 200).alias("x"))
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.col("text").alias("x"))
     parts = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("x"))
     return docs.unionByName(parts).select("doc_id", text.encode_name(F.col("x")).alias("encoded"), text.encode_symbols(F.col("x")).alias("symbols"))
 
@@ -198,27 +198,21 @@ def fuzzy_oov_query(spark: SparkSession, d: str) -> DataFrame:
     return fuzzy.search(asked, fuzzy.build_index(_encoded(_rel(spark, d, "part_docs")))).select("q", "pos", F.round("confidence", 4).alias("confidence"))
 
 
-@query(f"WITH {_docs('part_docs')}, asked AS (SELECT pos AS q, index_id, text FROM docs WHERE pos % 97 = 0), {_weights()}, {_search('asked', rerank=False)} SELECT q, count(*) AS n, count(*) FILTER (confidence >= 1) AS perfect, max(pos) AS last_pos FROM hits GROUP BY q")
+@query(f"WITH {_docs('part_docs')}, {_docs('part_names', 'asked', 'q')}, {_weights()}, {_search('asked', rerank=False)} SELECT q, count(*) AS n, count(*) FILTER (confidence >= 1) AS perfect, max(pos) AS last_pos FROM hits GROUP BY q")
 def adaptive_k_perfect(spark: SparkSession, d: str) -> DataFrame:
     docs = _encoded(_rel(spark, d, "part_docs"))
-    asked = docs.filter("pos % 97 = 0").select(F.col("pos").alias("q"), "index_id", "text")
-    hits = fuzzy.search(asked, fuzzy.build_index(docs))
+    hits = fuzzy.search(_encoded(_rel(spark, d, "part_names")), fuzzy.build_index(docs))
     return hits.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("confidence") >= 1).alias("perfect"), F.max("pos").alias("last_pos"))
 
 
-@query(_hits_sql("long_docs", "long_queries", 0.3))
+@query(_hits_sql("long_docs", "long_queries"))
 def long_rerank(spark: SparkSession, d: str) -> DataFrame:
-    return _hits(spark, d, "long_docs", "long_queries", 0.3)
+    return _hits(spark, d, "long_docs", "long_queries")
 
 
-@query(_hits_sql("long_docs", "opening_queries"))
-def near_duplicate_documents(spark: SparkSession, d: str) -> DataFrame:
-    return _hits(spark, d, "long_docs", "opening_queries")
-
-
-@query(_hits_sql("long_docs", "title_queries", 0.3))
+@query(_hits_sql("title_docs", "title_queries"))
 def page_title_match(spark: SparkSession, d: str) -> DataFrame:
-    return _hits(spark, d, "long_docs", "title_queries", 0.3)
+    return _hits(spark, d, "title_docs", "title_queries")
 
 
 _PAIRS = "SELECT a.p_partkey AS a_key, b.p_partkey AS b_key, a.p_name AS a_name, b.p_name AS b_name FROM {part} a JOIN {part} b ON a.p_size = b.p_size AND a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey"
@@ -318,10 +312,9 @@ def metadata_without_release(spark: SparkSession, d: str) -> DataFrame:
     return lookup.metadata_without_release(_mapping(spark, d)).select("artist_credit_id", "recording_id", "release_id", "release_name", "score")
 
 
-@query(f"WITH {_MAPPING} SELECT artist_credit_id, count(*) AS n FROM (SELECT DISTINCT artist_credit_id FROM mapping WHERE artist_credit_id > 2 AND artist_credit_id % 7 <> 0) GROUP BY ALL")
+@query(f"WITH {_MAPPING} SELECT artist_credit_id, count(*) AS n FROM (SELECT DISTINCT artist_credit_id FROM mapping WHERE artist_credit_id > 2 AND artist_credit_id NOT IN (SELECT index_id FROM ({fixtures.text('built')}))) GROUP BY ALL")
 def pending_blocks(spark: SparkSession, d: str) -> DataFrame:
-    facts = _mapping(spark, d)
-    return mapping.pending(facts, facts.filter("artist_credit_id % 7 = 0").select(F.col("artist_credit_id").alias("index_id")).distinct())
+    return mapping.pending(_mapping(spark, d), _rel(spark, d, "built"))
 
 
 _LOOKUP = f"""{_ALIASED}, {_CREATORS},
@@ -368,12 +361,12 @@ def lookup_json(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH src AS ({fixtures.text('odd_names')}), docs AS (SELECT -3::BIGINT AS index_id, row_number() OVER (ORDER BY entity_id, text) - 1 AS pos, entity_id, text FROM (SELECT id AS entity_id, {_odd('name')} AS text FROM src)), {_weights()},
-asked AS (SELECT id AS q, -3::BIGINT AS index_id, {_odd('name')} AS text FROM src), {_search('asked', rerank=False)},
+asked AS (SELECT req_id AS q, -3::BIGINT AS index_id, {_odd('artist')} AS text FROM ({fixtures.text('odd_requests')})), {_search('asked', rerank=False)},
 b AS (SELECT *, row_number() OVER (PARTITION BY q, entity_id ORDER BY confidence DESC, pos) AS k FROM hits) SELECT q AS req_id, entity_id AS creator, row_number() OVER (PARTITION BY q ORDER BY confidence DESC, pos) AS a_rank FROM b WHERE k = 1""")
 def lookup_unencodable(spark: SparkSession, d: str) -> DataFrame:
     names = _rel(spark, d, "odd_names")
     docs = indexes.creator_docs(names.select("id", "name", F.lit(1).alias("artist_count"), F.lit("").alias("sort_name")), spark.createDataFrame([], "id long, name string"))
-    hits = lookup.creator_hits(names.select(F.col("id").alias("req_id"), F.col("name").alias("artist")), fuzzy.build_index(docs))
+    hits = lookup.creator_hits(_rel(spark, d, "odd_requests"), fuzzy.build_index(docs))
     return hits.withColumn("a_rank", F.col("a_rank").cast("long"))
 
 
