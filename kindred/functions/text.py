@@ -131,7 +131,7 @@ def url_encode(x: Column) -> Column:
 
 def split_list(x: Column, *, trim: bool = False) -> Column:
     parts = F.split(x, ",", -1)
-    return F.transform(parts, F.trim) if trim else parts
+    return F.transform(parts, lambda p: F.trim(p)) if trim else parts
 
 
 def join_list(x: Column) -> Column:
