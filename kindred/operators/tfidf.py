@@ -28,8 +28,10 @@ class Vectorizer:
 
 
 def gram_counts(docs: DataFrame, by: list[str]) -> DataFrame:
-    """(*by, gram, tf) of the texts' indexed prefixes."""
-    return docs.select(*by, F.explode(trigrams(truncate(F.col("text")))).alias("gram")).groupBy(*by, "gram").agg(F.count(F.lit(1)).alias("tf"))
+    """(*by, gram, tf) of the texts' indexed prefixes, counted inside each row: ``by`` names one row, so nothing is shuffled."""
+    grams = docs.select(*by, trigrams(truncate(F.col("text"))).alias("grams"))
+    each = grams.select(*by, "grams", F.explode(F.array_distinct("grams")).alias("gram"))
+    return each.select(*by, "gram", F.size(F.filter("grams", lambda g: g == F.col("gram"))).cast("long").alias("tf"))
 
 
 def index_sizes(docs: DataFrame) -> DataFrame:
@@ -57,10 +59,9 @@ def _raw(how: Vectorizer, length: Column) -> Column:
 def weigh(counts: DataFrame, vocabulary: DataFrame, by: list[str], how: Vectorizer = Vectorizer()) -> DataFrame:
     """(*by, gram, w), normalised for each ``by``; grams outside the vocabulary drop out before the norm."""
     own = Window.partitionBy(*by)
-    length = F.sum("tf").over(own) if how.sublinear and not how.binary else F.lit(1.0)  # cancels under a norm otherwise
-    if how.norm == "none" and not how.binary:
-        length = F.sum("tf").over(own)
-    counts = counts.withColumn("length", length)
+    # a text's length cancels under a norm unless tf is sublinear
+    needed = not how.binary and (how.sublinear or how.norm == "none")
+    counts = counts.withColumn("length", F.sum("tf").over(own) if needed else F.lit(1.0))
     rows = counts.join(vocabulary.select(KEY, "gram", "idf"), [KEY, "gram"]).withColumn("raw", _raw(how, F.col("length")))
     if how.norm == "none":
         return rows.select(*by, "gram", F.col("raw").alias("w"))
