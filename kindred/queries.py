@@ -12,7 +12,7 @@ from kindred.config import NONE_ID
 from kindred.functions import distance, text
 from kindred.operators import fuzzy, tfidf
 from kindred.plans import dumps, indexes, lookup, mapping
-from kindred.sources import tables
+from kindred.sources import scratch, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -135,15 +135,17 @@ def _credits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _engine(spark: SparkSession, d: str) -> lookup.Engine:
-    facts = _mapping(spark, d).cache()
+    """Built and stored as a deployment does, then loaded."""
+    facts = scratch.stored(_mapping(spark, d), "mapping")
     docs, links = indexes.block_docs(facts, _rel(spark, d, "recording_alias"))
     creators = indexes.creator_docs(_credits(spark, d), _rel(spark, d, "artist_alias"))
 
-    def index(rows: DataFrame) -> fuzzy.Index:
-        built = fuzzy.build_index(rows.cache())
-        return fuzzy.Index(built.docs, built.vocabulary.cache(), built.weights.cache())
+    def index(rows: DataFrame, name: str) -> fuzzy.Index:
+        where = scratch.path(spark, name)
+        tables.save_index(fuzzy.build_index(scratch.stored(rows, f"{name}-docs")), where)
+        return tables.load_index(spark, where)
 
-    return lookup.Engine(facts, index(creators), index(docs), links.cache())
+    return lookup.Engine(facts, index(creators, "creators"), index(docs, "blocks"), scratch.stored(links, "links"))
 
 
 def _hits(spark: SparkSession, d: str, docs: str, queries: str, threshold: float = fuzzy.THRESHOLD) -> DataFrame:
@@ -417,10 +419,7 @@ def credits_per_artist(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT p_partkey, p_name || ', \"' || p_type || '\"' AS label, p_size::BIGINT AS size FROM part")
 def csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    import uuid
-
     rows = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.concat("p_name", F.lit(', "'), "p_type", F.lit('"')).alias("label"), F.col("p_size").cast("long").alias("size"))
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{where}/kindred-csv-{uuid.uuid4().hex}"
+    path = scratch.path(spark, "csv")
     tables.write_csv(rows, path)
     return tables.read_csv(spark, path, rows.schema)
