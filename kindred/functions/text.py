@@ -67,7 +67,7 @@ def romanise(x: Column) -> Column:
         return F.when(code < 128, c).when((syllable >= 0) & (syllable < 11172), hangul).otherwise(F.coalesce(F.try_element_at(by_letter, c), F.lit("")))
 
     walked = F.array_join(F.transform(F.filter(F.split(simple, ""), lambda c: c != ""), letter), "")
-    return F.when(simple.rlike("^[\\x00-\\x7F]*$"), simple).otherwise(walked)
+    return F.when(x.rlike("^[\\x00-\\x7F]*$"), x).otherwise(F.when(simple.rlike("^[\\x00-\\x7F]*$"), simple).otherwise(walked))
 
 
 def encode_name(x: Column) -> Column:

@@ -3,6 +3,10 @@
 Queries (q, index_id, text) meet documents of the same index by an equi-join on
 (index_id, gram), so blocking and the inverted index are one shuffled join that
 adaptive execution may split on frequent grams.
+
+Candidates share one of the query's rarest grams: with unit vectors, grams whose
+own norm stays under the threshold can't reach it alone, so only the others are
+looked up.  Each distinct text of an index is searched once.
 """
 
 from __future__ import annotations
@@ -19,6 +23,8 @@ from . import tfidf
 
 THRESHOLD = 0.7
 K, MAX_K = 10, 1000
+#: Confidences are rounded to so many digits.
+DIGITS = 6
 
 
 @dataclass(frozen=True)
@@ -28,18 +34,28 @@ class Index:
     docs: DataFrame
     vocabulary: DataFrame
     weights: DataFrame
+    #: No vector is longer than 1 (else all grams are looked up).
+    unit: bool = True
 
 
 def build_index(docs: DataFrame, how: tfidf.Vectorizer = tfidf.Vectorizer()) -> Index:
     vocabulary, weights = tfidf.build(docs, how)
-    return Index(docs, vocabulary, weights)
+    return Index(docs, vocabulary, weights, how.norm != "none")
 
 
-def _cosine(queries: DataFrame, index: Index) -> DataFrame:
-    grams = tfidf.gram_counts(queries, ["q", tfidf.KEY])
-    asked = tfidf.weigh(grams, index.vocabulary, ["q", tfidf.KEY])
-    pairs = asked.withColumnRenamed("w", "wq").join(index.weights, [tfidf.KEY, "gram"])
-    return pairs.groupBy("q", tfidf.KEY, "pos").agg(F.round(F.sum(F.col("wq") * F.col("w")), 6).alias("confidence"))
+def _cosine(texts: DataFrame, index: Index, threshold: float) -> DataFrame:
+    """(index_id, query, pos, confidence) of the texts (index_id, query); all pairs that reach the threshold, perhaps others."""
+    by = [tfidf.KEY, "query"]
+    grams = tfidf.gram_counts(texts.withColumn("text", F.col("query")), by)
+    asked = tfidf.weigh(grams, index.vocabulary, by, keep=("idf",)).withColumnRenamed("w", "wq")
+    rest = Window.partitionBy(*by).orderBy("idf", "gram")  # common grams first, so the sum at a gram is that of all up to it
+    sought = asked
+    if index.unit and threshold > 0:
+        reach = F.lit((threshold - 2 * 10**-DIGITS) ** 2)
+        sought = asked.withColumn("norm2", F.sum(F.col("wq") * F.col("wq")).over(rest)).filter(F.col("norm2") >= reach)
+    pairs = sought.select(*by, "gram").join(index.weights.select(tfidf.KEY, "gram", "pos"), [tfidf.KEY, "gram"]).select(*by, "pos").distinct()
+    terms = pairs.join(index.weights, [tfidf.KEY, "pos"]).join(asked.select(*by, "gram", "wq"), [*by, "gram"])
+    return terms.groupBy(*by, "pos").agg(F.round(F.sum(F.col("wq") * F.col("w")), DIGITS).alias("confidence"))
 
 
 def kept(perfect: Column) -> Column:
@@ -49,17 +65,17 @@ def kept(perfect: Column) -> Column:
 
 def search(queries: DataFrame, index: Index, threshold: float = THRESHOLD) -> DataFrame:
     """(q, index_id, pos, entity_id, text, confidence, rank): hits of at least the threshold, best first, ties by position."""
-    own = Window.partitionBy("q", tfidf.KEY)
+    own = Window.partitionBy(tfidf.KEY, "query")
     best = own.orderBy(F.desc("confidence"), "pos")
-    found = _cosine(queries, index).filter(F.col("confidence") >= threshold)
+    asked = queries.select("q", tfidf.KEY, F.col("text").alias("query"))
+    found = _cosine(asked.select(tfidf.KEY, "query").distinct(), index, threshold).filter(F.col("confidence") >= threshold)
     found = found.withColumn("perfect", F.sum((F.col("confidence") >= 1).cast("long")).over(own)).withColumn("k", F.row_number().over(best))
     found = found.filter(F.col("k") <= kept(F.col("perfect")))
-    asked = queries.select("q", tfidf.KEY, F.col("text").alias("query"))
-    rows = found.join(index.docs, [tfidf.KEY, "pos"]).join(asked, ["q", tfidf.KEY])
+    rows = found.join(index.docs, [tfidf.KEY, "pos"])
     long = F.max(F.greatest(F.length("text"), F.length("query")) > PREFIX).over(own)
-    rows = rows.withColumn("long", long).withColumn("confidence", F.when(F.col("long"), F.round(distance_confidence(F.col("query"), F.col("text")), 6)).otherwise(F.col("confidence")))
+    rows = rows.withColumn("long", long).withColumn("confidence", F.when(F.col("long"), F.round(distance_confidence(F.col("query"), F.col("text")), DIGITS)).otherwise(F.col("confidence")))
     rows = rows.filter(F.col("confidence") >= threshold).withColumn("rank", F.row_number().over(best))
-    return rows.select("q", tfidf.KEY, "pos", "entity_id", "text", "confidence", "rank")
+    return rows.join(asked, [tfidf.KEY, "query"]).select("q", tfidf.KEY, "pos", "entity_id", "text", "confidence", "rank")
 
 
 def exact(docs: DataFrame, text: str) -> DataFrame:

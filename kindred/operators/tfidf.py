@@ -30,8 +30,9 @@ class Vectorizer:
 def gram_counts(docs: DataFrame, by: list[str]) -> DataFrame:
     """(*by, gram, tf) of the texts' indexed prefixes, counted inside each row: ``by`` names one row, so nothing is shuffled."""
     grams = docs.select(*by, trigrams(truncate(F.col("text"))).alias("grams"))
-    each = grams.select(*by, "grams", F.explode(F.array_distinct("grams")).alias("gram"))
-    return each.select(*by, "gram", F.size(F.filter("grams", lambda g: g == F.col("gram"))).cast("long").alias("tf"))
+    each = grams.withColumn("unlike", F.array_distinct("grams")).select(*by, F.when(F.size("grams") > F.size("unlike"), F.col("grams")).alias("grams"), F.explode("unlike").alias("gram"))
+    times = F.when(F.col("grams").isNull(), F.lit(1)).otherwise(F.size(F.filter("grams", lambda g: g == F.col("gram"))))
+    return each.select(*by, "gram", times.cast("long").alias("tf"))
 
 
 def index_sizes(docs: DataFrame) -> DataFrame:
@@ -56,17 +57,17 @@ def _raw(how: Vectorizer, length: Column) -> Column:
     return tf * F.col("idf") if how.use_idf else F.lit(1.0)
 
 
-def weigh(counts: DataFrame, vocabulary: DataFrame, by: list[str], how: Vectorizer = Vectorizer()) -> DataFrame:
-    """(*by, gram, w), normalised for each ``by``; grams outside the vocabulary drop out before the norm."""
+def weigh(counts: DataFrame, vocabulary: DataFrame, by: list[str], how: Vectorizer = Vectorizer(), *, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, gram, *keep, w), normalised for each ``by``; grams outside the vocabulary drop out before the norm."""
     own = Window.partitionBy(*by)
     # a text's length cancels under a norm unless tf is sublinear
     needed = not how.binary and (how.sublinear or how.norm == "none")
     counts = counts.withColumn("length", F.sum("tf").over(own) if needed else F.lit(1.0))
     rows = counts.join(vocabulary.select(KEY, "gram", "idf"), [KEY, "gram"]).withColumn("raw", _raw(how, F.col("length")))
     if how.norm == "none":
-        return rows.select(*by, "gram", F.col("raw").alias("w"))
+        return rows.select(*by, "gram", *keep, F.col("raw").alias("w"))
     size = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(own)) if how.norm == "l2" else F.sum(F.abs("raw")).over(own)
-    return rows.withColumn("size", size).select(*by, "gram", F.when(F.col("size") == 0, 0.0).otherwise(F.col("raw") / F.col("size")).alias("w"))
+    return rows.withColumn("size", size).select(*by, "gram", *keep, F.when(F.col("size") == 0, 0.0).otherwise(F.col("raw") / F.col("size")).alias("w"))
 
 
 def build(docs: DataFrame, how: Vectorizer = Vectorizer()) -> tuple[DataFrame, DataFrame]:

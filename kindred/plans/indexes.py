@@ -95,9 +95,9 @@ def add_aliases(recordings: DataFrame, linked: DataFrame, aliases: DataFrame) ->
     return recordings.unionByName(new.drop("of")), linked.unionByName(taken)
 
 
-def block_docs(mapping: DataFrame, aliases: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Index documents of all blocks, and their links."""
-    rows = block_rows(mapping)
+def block_docs(mapping: DataFrame, aliases: DataFrame | None = None, *, rows: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Index documents of all blocks, and their links; ``rows``: the mapping's ``block_rows`` if they are stored."""
+    rows = block_rows(mapping) if rows is None else rows
     recordings, releases = first_seen_recordings(rows), first_seen_releases(rows)
     linked = links(rows, recordings, releases)
     if aliases is not None:

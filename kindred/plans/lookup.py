@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from kindred.config import MULTIPLE, SINGLE, SYMBOLS
 from kindred.functions.text import byte_view, clean_name, encode_name, encode_symbols
 from kindred.operators.fuzzy import THRESHOLD, Index, search
+from kindred.sources.scratch import stored
 
 from .indexes import collections_index, items_index
 
@@ -61,22 +62,22 @@ def lookup(requests: DataFrame, engine: Engine, threshold: float = THRESHOLD, *,
     """All requests (req_id, artist, release, recording) with their match, or nulls.
 
     ``clean``: requests whose creator is not found are tried once more with the cleaned name.  The hits, a few
-    rows for each request, are cached (``spark.catalog.clearCache()`` frees them).
+    rows for each request, are written to the shared folder and read again, which keeps plans short.
     """
     asked = requests.select("req_id", "artist", F.coalesce("release", F.lit("")).alias("release"), "recording")
     creators = creator_hits(asked, engine.creators, threshold)
     if clean:
         again = asked.join(creators.select("req_id").distinct(), "req_id", "left_anti").withColumn("artist", clean_name(F.col("artist")))
         creators = creators.unionByName(creator_hits(again, engine.creators, threshold))
-    creators = creators.persist()  # hits are used several times
-    items = _within(asked, creators, "recording", items_index, engine.blocks, threshold)
+    creators = stored(creators, "lookup-creators")
+    items = stored(_within(asked, creators, "recording", items_index, engine.blocks, threshold), "lookup-items")
     order = Window.partitionBy("req_id").orderBy("a_rank", "rank")
     pairs = items.join(creators, ["req_id", "creator"]).join(asked.select("req_id", "release"), "req_id")
-    pairs = pairs.select("req_id", "creator", "release", F.col("pos").alias("recording_pos"), F.col("entity_id").alias("item"), F.col("confidence").alias("item_confidence"), "a_rank", "rank", F.row_number().over(order).alias("k")).persist()
+    pairs = pairs.select("req_id", "creator", "release", F.col("pos").alias("recording_pos"), F.col("entity_id").alias("item"), F.col("confidence").alias("item_confidence"), "a_rank", "rank", F.row_number().over(order).alias("k"))
     linked = engine.links.select(F.col("block").alias("creator"), "recording_pos", "recording_id", "release_pos", "release_id")
     # with a collection: the best hit for it in each creator's block
     wanted = _within(asked.filter("release <> ''"), creators, "release", collections_index, engine.blocks, threshold).filter("rank = 1")
-    wanted = wanted.select("req_id", "creator", F.col("pos").alias("release_pos"), F.col("confidence").alias("release_confidence"))
+    wanted = stored(wanted.select("req_id", "creator", F.col("pos").alias("release_pos"), F.col("confidence").alias("release_confidence")), "lookup-collections")
     given = pairs.filter("release <> ''").join(wanted, ["req_id", "creator"]).join(linked, ["creator", "recording_pos", "release_pos"])
     # without: the canonical collection of the first pair
     first = pairs.filter("release = '' and k = 1").join(canonical_release(engine.mapping), (F.col("creator") == F.col("artist_credit_id")) & (F.col("item") == F.col("recording_id"))).select("req_id", F.col("canonical").alias("release_id"))

@@ -137,15 +137,10 @@ def _credits(spark: SparkSession, d: str) -> DataFrame:
 def _engine(spark: SparkSession, d: str) -> lookup.Engine:
     """Built and stored as a deployment does, then loaded."""
     facts = scratch.stored(_mapping(spark, d), "mapping")
-    docs, links = indexes.block_docs(facts, _rel(spark, d, "recording_alias"))
+    docs, links = indexes.block_docs(facts, _rel(spark, d, "recording_alias"), rows=scratch.stored(indexes.block_rows(facts), "rows"))
     creators = indexes.creator_docs(_credits(spark, d), _rel(spark, d, "artist_alias"))
 
-    def index(rows: DataFrame, name: str) -> fuzzy.Index:
-        where = scratch.path(spark, name)
-        tables.save_index(fuzzy.build_index(scratch.stored(rows, f"{name}-docs")), where)
-        return tables.load_index(spark, where)
-
-    return lookup.Engine(facts, index(creators, "creators"), index(docs, "blocks"), scratch.stored(links, "links"))
+    return lookup.Engine(facts, tables.store_index(creators, scratch.path(spark, "creators")), tables.store_index(docs, scratch.path(spark, "blocks")), scratch.stored(links, "links"))
 
 
 def _hits(spark: SparkSession, d: str, docs: str, queries: str, threshold: float = fuzzy.THRESHOLD) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql.utils import AnalysisException
 
 from kindred.functions.text import null_to_default
 from kindred.operators.fuzzy import Index
+from kindred.operators.tfidf import KEY, Vectorizer, fit, gram_counts, weigh
 
 FETCH_ROWS = 25_000
 
@@ -71,8 +72,20 @@ def save_index(index: Index, path: str, *, mode: str = "errorifexists") -> None:
         df.write.mode(mode).parquet(f"{path}/{name}")
 
 
-def load_index(spark: SparkSession, path: str) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("docs", "vocabulary", "weights")))
+def store_index(docs: DataFrame, path: str, how: Vectorizer = Vectorizer()) -> Index:
+    """Builds a new index at ``path`` from its stored parts, so that each is computed once."""
+    spark = docs.sparkSession
+    docs.write.parquet(f"{path}/docs")
+    docs = spark.read.parquet(f"{path}/docs")
+    counts = gram_counts(docs, [KEY, "pos"])
+    fit(docs, how, counts).write.parquet(f"{path}/vocabulary")
+    weigh(counts, spark.read.parquet(f"{path}/vocabulary"), [KEY, "pos"], how).write.parquet(f"{path}/weights")
+    return load_index(spark, path, how)
+
+
+def load_index(spark: SparkSession, path: str, how: Vectorizer = Vectorizer()) -> Index:
+    """``how``: as it was built."""
+    return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("docs", "vocabulary", "weights")), how.norm != "none")
 
 
 def has_index(spark: SparkSession, path: str) -> bool:
