@@ -5,10 +5,27 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Paths made inside are removed at its end, not when Python ends; for work that repeats, such as micro-batches."""
+    made: list[str] = []
+    token = _scope.set(made)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        for where in made:
+            _delete(spark, where)
 
 
 def path(spark: SparkSession, name: str) -> str:
@@ -19,7 +36,11 @@ def path(spark: SparkSession, name: str) -> str:
             _own.append("file://" + tempfile.mkdtemp(prefix="kindred-"))
         top = _own[0]
     out = f"{top.rstrip('/')}/kindred/{name}-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, out)
+    made = _scope.get()
+    if made is None:
+        atexit.register(_delete, spark, out)
+    else:
+        made.append(out)
     return out
 
 

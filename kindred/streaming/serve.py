@@ -10,6 +10,7 @@ from kindred.operators.fuzzy import build_index
 from kindred.plans.indexes import block_docs
 from kindred.plans.lookup import Engine, lookup
 from kindred.plans.mapping import pending
+from kindred.sources import scratch
 from kindred.sources.tables import has_index, load_index, save_index, to_response
 
 
@@ -17,7 +18,8 @@ def serve(requests: DataFrame, engine: Engine, out: str, checkpoint: str) -> Str
     """Answers a stream of requests with JSON rows; a batch that is run again replaces its own folder."""
 
     def answer(batch: DataFrame, number: int) -> None:
-        to_response(lookup(batch, engine)).write.mode("overwrite").json(f"{out}/batch={number}")
+        with scratch.scope(batch.sparkSession):
+            to_response(lookup(batch, engine)).write.mode("overwrite").json(f"{out}/batch={number}")
 
     return requests.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
