@@ -143,8 +143,13 @@ def _engine(spark: SparkSession, d: str) -> lookup.Engine:
     return lookup.Engine(facts, tables.store_index(creators, scratch.path(spark, "creators")), tables.store_index(docs, scratch.path(spark, "blocks")), scratch.stored(links, "links"))
 
 
+def _index(docs: DataFrame) -> fuzzy.Index:
+    """Stored: a search reads the weights twice."""
+    return tables.store_index(docs, scratch.path(docs.sparkSession, "index"))
+
+
 def _hits(spark: SparkSession, d: str, docs: str, queries: str, threshold: float = fuzzy.THRESHOLD) -> DataFrame:
-    index = fuzzy.build_index(_encoded(_rel(spark, d, docs)))
+    index = _index(_encoded(_rel(spark, d, docs)))
     hits = fuzzy.search(_encoded(_rel(spark, d, queries)), index, threshold)
     return hits.select("q", "pos", "text", F.round("confidence", 4).alias("confidence"), F.col("rank").cast("long").alias("rank"))
 
@@ -192,13 +197,13 @@ def fuzzy_topk_parts(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_docs('part_docs')}, asked AS (SELECT q, index_id, text || 'qqqxxxzzz' AS text FROM ({_docs('part_queries', 'x', 'q')[5:]})), {_weights()}, {_search('asked', rerank=False)} SELECT q, pos, round(confidence, 4) AS confidence FROM hits")
 def fuzzy_oov_query(spark: SparkSession, d: str) -> DataFrame:
     asked = _encoded(_rel(spark, d, "part_queries")).withColumn("text", F.concat("text", F.lit("qqqxxxzzz")))
-    return fuzzy.search(asked, fuzzy.build_index(_encoded(_rel(spark, d, "part_docs")))).select("q", "pos", F.round("confidence", 4).alias("confidence"))
+    return fuzzy.search(asked, _index(_encoded(_rel(spark, d, "part_docs")))).select("q", "pos", F.round("confidence", 4).alias("confidence"))
 
 
 @query(f"WITH {_docs('part_docs')}, {_docs('part_names', 'asked', 'q')}, {_weights()}, {_search('asked', rerank=False)} SELECT q, count(*) AS n, count(*) FILTER (confidence >= 1) AS perfect, max(pos) AS last_pos FROM hits GROUP BY q")
 def adaptive_k_perfect(spark: SparkSession, d: str) -> DataFrame:
     docs = _encoded(_rel(spark, d, "part_docs"))
-    hits = fuzzy.search(_encoded(_rel(spark, d, "part_names")), fuzzy.build_index(docs))
+    hits = fuzzy.search(_encoded(_rel(spark, d, "part_names")), _index(docs))
     return hits.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("confidence") >= 1).alias("perfect"), F.max("pos").alias("last_pos"))
 
 
@@ -363,7 +368,7 @@ b AS (SELECT *, row_number() OVER (PARTITION BY q, entity_id ORDER BY confidence
 def lookup_unencodable(spark: SparkSession, d: str) -> DataFrame:
     names = _rel(spark, d, "odd_names")
     docs = indexes.creator_docs(names.select("id", "name", F.lit(1).alias("artist_count"), F.lit("").alias("sort_name")), spark.createDataFrame([], "id long, name string"))
-    hits = lookup.creator_hits(_rel(spark, d, "odd_requests"), fuzzy.build_index(docs))
+    hits = lookup.creator_hits(_rel(spark, d, "odd_requests"), _index(docs))
     return hits.withColumn("a_rank", F.col("a_rank").cast("long"))
 
 
