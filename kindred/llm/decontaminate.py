@@ -1,18 +1,22 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Three-word seeds of the test items meet the corpus: documents give only those
+Two-word seeds of the test items meet the corpus: documents give only those
 seeds that a bit table of fixed size, filled from the items, may hold, and an
-equi-join on the 64-bit hash finds the items.  Of each item the rare seeds
-count: those whose document frequency is at most twice the median of that
-item's seeds that occur (so a leak that was copied often, or to a third of all
-documents, keeps its seeds).  Places with two of them are aligned locally, word
-by word, with the whole item: match 1, mismatch and gap -1.  The score is the
-best alignment's share of the item's words, so edited copies are found.
+equi-join on the 64-bit hash finds the items.  Places with enough seeds are
+aligned locally, word by word, with the whole item: match 1, mismatch and gap
+-1.  The score is the best alignment's share of the item's words, so edited
+copies are found.
+
+No copy at ``min_score`` is lost.  Its m matched words are cut into at most
+e + 1 runs by its e mismatches and gaps, so it keeps at least m - e - 1 of the
+item's seeds, which is K = ceil(min_score * n) - 1 or more for n words (three
+or more words give no such bound: a word inserted after every two leaves none
+of them).  So any K - ``min_seeds`` seeds may be left out if ``min_seeds`` of
+the others are asked for; those with most occurrences in the corpus are.
 
 Words are runs of letters and digits of the lower-cased text.  Null and empty
-texts give nothing.  Items under three words have no seed and match nothing;
-items under eight need one seed.  Rows that repeat an id are judged each by
-their own text; a null id stays null.  Empty tables give empty results; other
+texts give nothing.  Items under three words match nothing; those for which K
+is 1 need one seed.  Rows that repeat an id are judged each by their own text; a null id stays null.  Empty tables give empty results; other
 columns are ignored.
 """
 
@@ -22,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import spans
@@ -31,7 +35,8 @@ from .store import keep
 from .superkmers import doc_id, keyed
 
 U = np.uint64
-SEED = 3
+SEED = 2
+MIN_WORDS = 3
 TABLE_BITS = 22
 MIN_SCORE = 0.5
 MIN_SEEDS = 2
@@ -64,7 +69,7 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         first = b.column(1).offsets.to_numpy().astype(np.int64)
         hashes, item, at = spans.shingles(b.column(1).values.to_numpy().view(U)[first[0] : first[-1]], first - first[0], SEED)
-        yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(b.column(0).take(pa.array(item))), pa.array(at - (first - first[0])[item]), pa.array(np.diff(first)[item])], names=["h", "item_id", "at", "size"])
+        yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(b.column(0).take(pa.array(item))), pa.array(at - (first - first[0])[item]), pa.array(np.diff(first)[item])], names=["h", "item", "at", "size"])
 
 
 def _hits(table: np.ndarray):
@@ -159,25 +164,24 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_score: float = MIN_SCORE, min_seeds: int = MIN_SEEDS) -> DataFrame:
     """One row per document and test item found in it: doc_id, item_id, score, and the passage's words [start_word, end_word)."""
     rows = keyed(docs, id_col, text_col)
-    items = keep(benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).mapInArrow(_items, "item_id long, words array<long>").filter(F.size("words") >= SEED), "items")
-    seeds = keep(items.mapInArrow(_seeds, "h long, item_id long, at long, size long"), "seeds")
+    items = keep(benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).mapInArrow(_items, "item_id long, words array<long>").filter(F.size("words") >= MIN_WORDS).distinct().withColumn("item", F.xxhash64("item_id", "words")), "items")
+    seeds = keep(items.select("item", "words").mapInArrow(_seeds, "h long, item long, at long, size long"), "seeds")
     bit = F.shiftrightunsigned("h", 64 - TABLE_BITS)
     table = np.zeros(1 << (TABLE_BITS - 6), U)
     for word, bits in seeds.groupBy(F.shiftright(bit, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - TABLE_BITS}) & 63 as int))"))).collect():  # the table's size at most
         table[word] = bits & 0xFFFFFFFFFFFFFFFF
-    given = rows.mapInArrow(_hits(table), "__id long, __hash long, h array<long>, pos array<long>")
-    given = given.select("__id", "__hash", F.explode(F.arrays_zip("h", "pos")).alias("x")).select("__id", "__hash", "x.h", "x.pos")
-    hits = keep(given.join(seeds, "h"), "seed-hits")
-    frequency = hits.select("h", "__id", "__hash").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("df"))
-    of_item = seeds.select("h", "item_id").distinct().join(frequency, "h")
-    usual = of_item.groupBy("item_id").agg(F.percentile("df", F.lit(0.5)).alias("usual"))
-    rare = of_item.join(usual, "item_id").filter(F.col("df") <= 2 * F.col("usual")).select("h", "item_id")
+    given = keep(rows.mapInArrow(_hits(table), "__id long, __hash long, h array<long>, pos array<long>"), "seed-hits")
+    frequency = given.select(F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    sure = F.greatest(F.ceil(min_score * F.col("size") - 1e-9) - 1, F.lit(1))
+    enough = F.least(F.lit(min_seeds), sure)
+    order = F.row_number().over(Window.partitionBy("item").orderBy(F.coalesce("df", F.lit(0)), "h", "at"))
+    rare = seeds.join(frequency, "h", "left").withColumn("order", order).filter(F.col("order") <= F.col("size") - SEED + 1 - (sure - enough)).select("h", "item", "at", "size")
+    hits = given.select("__id", "__hash", F.explode(F.arrays_zip("h", "pos")).alias("x")).select("__id", "__hash", "x.h", "x.pos").join(rare, "h")
     # a place: the item's length of words, numbered from the document's start, where the item would begin
     place = F.floor((F.col("pos") - F.col("at")) / F.col("size"))
-    near = hits.join(rare, ["h", "item_id"]).select("__id", "__hash", "item_id", "size", "pos", F.explode(F.array(place, place + 1)).alias("place"))
-    enough = F.least(F.lit(min_seeds), F.when(F.col("size") < 8, 1).otherwise(min_seeds))
-    places = near.groupBy("__id", "__hash", "item_id", "size", "place").agg(F.count_distinct("pos").alias("k")).filter(F.col("k") >= enough)
-    found = places.groupBy("__id", "__hash", "item_id").agg(F.collect_set("place").alias("places")).join(items, "item_id")
+    near = hits.select("__id", "__hash", "item", "size", "pos", F.explode(F.array(place, place + 1)).alias("place"))
+    places = near.groupBy("__id", "__hash", "item", "size", "place").agg(F.count_distinct("pos").alias("k")).filter(F.col("k") >= enough)
+    found = places.groupBy("__id", "__hash", "item").agg(F.collect_set("place").alias("places")).join(items, "item")
     wanted = keep(found.groupBy("__id", "__hash").agg(F.collect_list(F.struct("item_id", "words", "places")).alias("items")), "candidates")
     few = wanted.agg(F.sum(F.size("items"))).first()[0] or 0
     if few * 1000 <= BROADCAST_IDS * 8:  # rows of some hundred bytes

@@ -149,6 +149,21 @@ def test_decontamination(spark):
     assert all(abs(got[k] - want[k]) < 1e-5 for k in want)
 
 
+def test_copied_versions_keep_their_seeds(spark):
+    """Copies of one edited version make its seeds no rarer than they are: every version is still found."""
+    words = [f"w{k}" for k in range(40)]
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    substituted = " ".join("other" if k % 5 == 4 else w for k, w in enumerate(words))
+    inserted = " ".join(w + " more" if k % 4 == 3 else w for k, w in enumerate(words))
+    for edited in (substituted, inserted):
+        score = smith_waterman(words, edited.split()) / 40
+        assert score >= 0.5
+        docs = [(0, " ".join(words))] + [(k, f"{edited} tail{k}") for k in range(1, 31)]
+        got = {x.doc_id: x.score for x in decontaminate.contaminated(frame(spark, docs), bench).collect()}
+        assert got.keys() == {k for k, _ in docs} and got[0] == 1.0
+        assert all(abs(got[k] - score) < 1e-5 for k in range(1, 31))
+
+
 def test_licenses(spark):
     mit = license_scan.TEMPLATES["MIT"]
     edited = mit.replace("free of charge", "without any charge").replace("Software", "Program", 2)
