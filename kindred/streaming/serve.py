@@ -24,8 +24,11 @@ def serve(requests: DataFrame, engine: Engine, out: str, checkpoint: str) -> Str
     return requests.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def extend_blocks(mapping: DataFrame, path: str, *, min_credit: int = 2, rebuild: bool = False) -> int:
-    """Builds the blocks that are not stored yet (all, if ``rebuild``) and returns their number."""
+def extend_blocks(mapping: DataFrame, path: str, aliases: DataFrame | None = None, *, min_credit: int = 2, rebuild: bool = False) -> int:
+    """Builds the blocks that are not stored yet (all, if ``rebuild``) and returns their number.
+
+    ``aliases`` (recording_id, name) of items; stored blocks take up later ones with ``rebuild``.
+    """
     spark = mapping.sparkSession
     there = has_index(spark, path) and not rebuild
     built = load_index(spark, path).docs.selectExpr("floor(index_id / 2) AS index_id").distinct() if there else spark.createDataFrame([], "index_id long")
@@ -33,7 +36,7 @@ def extend_blocks(mapping: DataFrame, path: str, *, min_credit: int = 2, rebuild
     n = ids.count()
     if not n:
         return 0
-    docs, links = block_docs(mapping)
+    docs, links = block_docs(mapping, aliases)
     fresh = docs.selectExpr("*", "floor(index_id / 2) AS block").join(ids, "block", "left_semi").drop("block")
     save_index(build_index(fresh), path, mode="append" if there else "overwrite")
     links.join(ids, "block", "left_semi").write.mode("append" if there else "overwrite").parquet(f"{path}/links")

@@ -203,3 +203,19 @@ def test_query_against_oracle(spark, oracle, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_incremental_blocks_hold_aliases(spark, small, tmp_path):
+    path = f"{tmp_path}/blocks"
+    aliases = spark.createDataFrame([(1001, "Farewell"), (1004, "Racket")], "recording_id long, name string")
+    asked = spark.createDataFrame([(1, "Blue Lanterns", "Second Light", "Farewell"), (2, "!!!", "", "Racket")], "req_id long, artist string, release string, recording string")
+
+    def found():
+        engine = lookup.Engine(small.mapping, small.creators, tables.load_index(spark, path), spark.read.parquet(f"{path}/links"))
+        return {r.req_id: (r.release_id, r.recording_id) for r in lookup.lookup(asked, engine).collect() if r.recording_id is not None}
+
+    assert serve.extend_blocks(small.mapping.filter("artist_credit_id = 10"), path, aliases) == 1
+    assert serve.extend_blocks(small.mapping, path, aliases) == 4
+    assert found() == {1: (101, 1001), 2: (103, 1004)}
+    serve.extend_blocks(small.mapping, path, aliases.filter("recording_id = 1001"), rebuild=True)
+    assert found() == {1: (101, 1001)}
