@@ -16,10 +16,15 @@ from kindred.llm.store import keep
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents whose id is not among ``ids`` (one column, ``id``); broadcast only after counting."""
-    few = ids.count() <= ngram_join.BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["id"], "left_anti")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``__key`` stands for (id, text): null ids count, and texts that share an id are judged each for itself."""
+    return docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+
+
+def _only(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Keyed documents whose key is (``left_semi``) or is not (``left_anti``) among ``keys``; broadcast only after counting."""
+    few = keys.count() <= ngram_join.BROADCAST_IDS
+    return docs.join(F.broadcast(keys) if few else keys, "__key", how)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,15 +41,24 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one with the smallest id stays."""
-    groups = ngram_join.ngram_jaccard_join(docs)
-    return _without(docs, keep(groups.filter("doc_id != component_id").select(F.col("doc_id").alias("id")).distinct(), "pipeline-near"))
+    """Of each group of similar documents the one with the smallest id stays (null is last), and one of repeated rows."""
+    rows = _keyed(docs)
+    groups = ngram_join.ngram_jaccard_join(rows, id_col="__key").select(F.col("doc_id").alias("__key"), "component_id").distinct()
+    found = keep(rows.groupBy("__key", "doc_id").agg(F.count(F.lit(1)).alias("n")).join(groups, "__key"), "pipeline-groups")
+    best = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key")).alias("best"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    near = keep(found.join(best, "component_id").filter("__key != best.__key").select("__key"), "pipeline-near")
+    repeated = keep(found.filter("n > 1").select("__key").distinct(), "pipeline-repeated")
+    rows = _only(rows, near, "left_anti")
+    if repeated.head(1):
+        rows = _only(rows, repeated, "left_anti").unionByName(_only(rows, repeated, "left_semi").dropDuplicates(["__key"]))
+    return rows.select(*docs.columns)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a test item, or an edited copy of one, go."""
-    hits = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, keep(hits.select(F.col("doc_id").alias("id")).distinct(), "pipeline-leaks"))
+    rows = _keyed(docs)
+    hits = decontaminate.contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="__key")
+    return _only(rows, keep(hits.select(F.col("doc_id").alias("__key")).distinct(), "pipeline-leaks"), "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

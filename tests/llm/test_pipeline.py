@@ -58,6 +58,22 @@ def test_pipeline_against_plain_code(spark, tmp_path):
     check_packing(corpus_pipeline.run(spark, str(tmp_path)).collect(), list(after.items()))
 
 
+def test_stages_decide_by_id_and_text(spark, tmp_path):
+    """Null ids, ids with two texts and repeated rows."""
+    words = lambda name, n=40: " ".join(f"{name}{k}" for k in range(n))
+    item = words("item", 20)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    table = lambda rows: spark.createDataFrame([(i, t, "aa", "s", len(t)) for i, t in rows], SHAPE)
+    left = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    clean = [(None, words("a")), (2, words("b")), (3, words("c"))]
+    dirty = [(None, f"x {item} y"), (2, f"z {item}"), (4, item)]
+    assert left(corpus_pipeline.decontaminate_benchmark(spark, table(clean + dirty), str(tmp_path))) == sorted(clean, key=str)
+    stays = [(5, words("d")), (6, words("e")), (6, words("f")), (None, words("g"))]
+    goes = [(5, words("d")), (None, words("d")), (7, words("d")), (7, words("d")), (8, words("e")), (None, words("g"))]
+    also = [(7, words("h"))]  # shares its id with a copy
+    assert left(corpus_pipeline.dedup_near(spark, table(stays + goes + also), str(tmp_path))) == sorted(stays + also, key=str)
+
+
 def test_entry_without_the_folder(tmp_path):
     """The driver may delete the folder: the entry module still imports."""
     import shutil
