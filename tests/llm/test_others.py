@@ -164,6 +164,20 @@ def test_copied_versions_keep_their_seeds(spark):
         assert all(abs(got[k] - score) < 1e-5 for k in range(1, 31))
 
 
+def test_short_items_edited_evenly(spark):
+    """Copies with fewer than two runs of three words left."""
+    a, b, c = [[f"{x}{k}" for k in range(n)] for x, n in (("a", 12), ("b", 15), ("c", 40))]
+    replaced = ["other" if k in (2, 5, 9) else w for k, w in enumerate(a)]
+    inserted = " ".join(w + " more" if k in (1, 3, 5, 7, 9, 11) else w for k, w in enumerate(b)).split()
+    pairs = " ".join(w + " more" if k % 2 and k < 39 else w for k, w in enumerate(c)).split()
+    docs = [(k, " ".join(x)) for k, x in enumerate((replaced, inserted, pairs))]
+    want = {(k, k): smith_waterman(x, docs[k][1].split()) / len(x) for k, x in enumerate((a, b, c))}
+    assert min(want.values()) >= 0.5
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate((a, b, c))], "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x.score for x in decontaminate.contaminated(frame(spark, docs), bench).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in want)
+
+
 def test_licenses(spark):
     mit = license_scan.TEMPLATES["MIT"]
     edited = mit.replace("free of charge", "without any charge").replace("Software", "Program", 2)
