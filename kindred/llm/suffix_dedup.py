@@ -10,9 +10,9 @@ packed string at a time.  In a block
 * the suffixes at the positions of a difference cover modulo ``PERIOD`` are
   sorted first, by their first ``PERIOD`` bytes and then by doubling, which
   gives each a rank to a depth of over ``width`` bytes;
-* the block's suffixes are then sorted one bucket (a range of residues) at a
-  time: by the bytes up to the next cover position and then, however long the
-  tie, by the cover sample's rank there.  A bucket's memory is bounded.
+* the block's suffixes are then sorted one bucket (a range of first bytes) at a
+  time: by residue, the bytes up to the next cover position and then, however
+  long the tie, by the cover sample's rank there.  A block's memory is bounded.
 * neighbours in that order that agree in ``width`` bytes, compared by rank or
   else byte by byte, are repeats.
 
@@ -33,12 +33,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import spans
-from .superkmers import HOT_STRINGS, Block, Unit, doc_id, keyed, repeated_ranges
+from .superkmers import BLOCK_BYTES, BUCKET_BYTES, Block, Unit, doc_id, keyed, repeated_ranges
 
 WIDTH, K = 200, 32
 PERIOD = 64
-#: Suffixes that are sorted at once.
-BUCKET = 1 << 19
+#: Suffixes that are sorted at once, more only if they begin with the same eight bytes.
+BUCKET = 1 << 18
 
 
 def difference_cover(period: int) -> np.ndarray:
@@ -104,7 +104,7 @@ class BlockArray:
         return self.ranks.take(position // self.period * len(self.cover) + self.number[position % self.period], mode="clip")
 
     def repeats(self, start: np.ndarray) -> np.ndarray:
-        """Which of these suffixes (of one residue range) agree with another one in ``width`` bytes."""
+        """Which of these suffixes agree with another one in ``width`` bytes."""
         residue = start % self.period
         gap = self.gap[residue]
         shift = (8 * (8 - gap)).astype(np.uint64)
@@ -144,12 +144,11 @@ def _find(width: int):
         if len(one) > 1:
             array = BlockArray(data, offsets, block.anchor[one], width)
             start = array.base[string] + window
-            # one bucket of residues at a time
-            residue = start % array.period
-            count = np.cumsum(np.bincount(residue, minlength=array.period))
-            bucket = np.maximum(count - 1, 0) // BUCKET
-            for k in np.unique(bucket[residue]) if len(start) else ():
-                mine = np.flatnonzero(bucket[residue] == k)
+            # one bucket of suffixes, a range of their first bytes, at a time
+            lead = array.word[start].astype(np.uint64)
+            bucket = np.searchsorted(np.sort(lead)[BUCKET::BUCKET], lead, side="right")
+            for k in range(int(bucket.max(initial=0)) + 1):
+                mine = np.flatnonzero(bucket == k)
                 hit[mine] |= array.repeats(start[mine])
         # back to all strings
         per = np.split(window[hit], np.searchsorted(string[hit], np.arange(1, len(one))))
@@ -179,17 +178,17 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _joined(docs: DataFrame, id_col: str, text_col: str, width: int, k: int, hot: int) -> DataFrame:
+def _joined(docs: DataFrame, id_col: str, text_col: str, width: int, k: int, bucket: int, block: int) -> DataFrame:
     rows = keyed(docs, id_col, text_col)
-    gone = repeated_ranges(rows, Unit(words=False, width=width, k=k, smaller_id=False, hot=hot), _find(width), "bytes")
+    gone = repeated_ranges(rows, Unit(words=False, width=width, k=k, smaller_id=False, bucket=bucket, block=block), _find(width), "bytes")
     return rows.join(gone, ["__id", "__hash"], "left").select(doc_id(), "text", "ranges")
 
 
-def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, k: int = K, hot: int = HOT_STRINGS) -> DataFrame:
+def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, k: int = K, bucket: int = BUCKET_BYTES, block: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans and the kept bytes."""
-    return _joined(docs, id_col, text_col, width, k, hot).mapInArrow(_rest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return _joined(docs, id_col, text_col, width, k, bucket, block).mapInArrow(_rest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _joined(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", WIDTH, K, HOT_STRINGS)
+    rows = _joined(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", WIDTH, K, BUCKET_BYTES, BLOCK_BYTES)
     return rows.mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

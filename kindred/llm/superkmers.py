@@ -5,17 +5,24 @@ minimiser the smallest hash of the ``k``-grams in it.  Equal windows have equal
 minimisers, so consecutive windows that share one travel as one packed string
 to its bucket.  Before anything travels:
 
-* strings that one task sees several times are settled there (equal strings
-  have equal windows), and one of them goes on;
+* strings that one piece of about a megabyte holds several times (found by
+  hash, then compared in full) are settled there, and one of them goes on;
 * minimisers that occur once in the whole corpus (in one document, where only
   other documents count) drop out by a partial aggregation and a join of
   (minimiser, id, position) rows, which hold no text.
 
 What is left, the repeated part of the corpus, is cut out of the texts and
 dealt by minimiser.  ``find`` (the operator's own) looks for equal windows in
-blocks of whole buckets.  A minimiser with over ``hot`` strings is not dealt
-as a bucket: its windows are hashed to 128 bits one by one and counted by
-partial aggregation, so no task ever holds an unbounded group.
+blocks of whole buckets.  A bucket larger than a block is divided by its
+windows' further content: in its task, or by Spark where it is too large for
+one task.  All windows of a bucket
+share a core (at first the minimiser's k-gram) with ``slack`` units beside it,
+so each window extends that core by half the slack to its left or else to its
+right, and equal windows do so alike; the extended core is the key of a smaller
+bucket with half the slack.  After a few divisions no slack is left, and a
+bucket that is still large holds one window many times: those are grouped by
+their text, with partial aggregation.  So no task ever holds an unbounded
+group, and windows are compared in full whatever a bucket's size.
 
 Texts are told apart by id and hash, so that rows that repeat an id are judged
 each by their own text; a null id counts as smaller than all others.
@@ -37,10 +44,10 @@ from .store import keep
 
 U = np.uint64
 NULL_ID = -(1 << 63)
-#: Bytes of packed strings that are looked through together (whole buckets, so one may be larger).
-BLOCK_BYTES = 2 << 20
-#: Strings of one minimiser beyond which its windows are counted one by one.
-HOT_STRINGS = 100_000
+#: Bytes of packed strings that are looked through together.
+BLOCK_BYTES = 1 << 20
+#: Bytes of one bucket that a task may hold; larger buckets are divided before they are dealt.
+BUCKET_BYTES = 32 << 20
 
 
 @dataclass(frozen=True)
@@ -52,19 +59,28 @@ class Unit:
     k: int
     #: Only windows that a smaller id has too count as repeated; else any second occurrence counts.
     smaller_id: bool
-    hot: int = HOT_STRINGS
+    bucket: int = BUCKET_BYTES
+    block: int = BLOCK_BYTES
 
 
-_CUT = "__id long, __hash long, m long, start long, n long, anchor int, sure boolean, goes boolean"
+_CUT = "__id long, __hash long, m long, start long, n long, anchor int, bytes long, sure boolean, goes boolean"
 _CUT_NAMES = [x.split()[0] for x in _CUT.split(", ")]
 
 
-def _units(unit: Unit, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The values that windows run over, and each text's first one."""
+def _units(unit: Unit, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray | None]:
+    """The values that windows run over, each text's first one, and for words their bytes [start, end)."""
     if not unit.words:
-        return data, offsets
+        return data, offsets, None, None
     starts, ends, first = spans.words(data, offsets)
-    return spans.word_hashes(data, starts, ends), first
+    return spans.word_hashes(data, starts, ends), first, starts, ends
+
+
+def _alike(unit: Unit, raw: bytes, lo: np.ndarray, hi: np.ndarray, with_lo: np.ndarray, with_hi: np.ndarray) -> np.ndarray:
+    """Which byte ranges hold the same units."""
+    out = [raw[a:b] == raw[c:d] for a, b, c, d in zip(lo.tolist(), hi.tolist(), with_lo.tolist(), with_hi.tolist(), strict=True)]
+    if unit.words:  # perhaps with other white space
+        out = [same or raw[a:b].split() == raw[c:d].split() for same, a, b, c, d in zip(out, lo.tolist(), hi.tolist(), with_lo.tolist(), with_hi.tolist(), strict=True)]
+    return np.array(out, dtype=bool)
 
 
 def _cut(unit: Unit) -> Callable:
@@ -72,7 +88,7 @@ def _cut(unit: Unit) -> Callable:
         for b in batches:
             ids, marks = b.column(0).to_numpy(), b.column(1).to_numpy()
             for row, data, offsets in spans.pieces(b.column(2), 1 << 20):
-                values, first = _units(unit, data, offsets)
+                values, first, lo, hi = _units(unit, data, offsets)
                 if len(values) < unit.width:
                     continue
                 ranges = spans.RangeHash(values)
@@ -99,21 +115,26 @@ def _cut(unit: Unit) -> Callable:
                 order = np.lexsort((doc, n, whole, m))
                 same = np.zeros(len(order), dtype=bool)
                 same[1:] = (m[order][1:] == m[order][:-1]) & (whole[order][1:] == whole[order][:-1]) & (n[order][1:] == n[order][:-1])
-                group = np.cumsum(~same) - 1
+                begin, end = (start, start + n + unit.width - 1) if lo is None else (lo[start], hi[start + n + unit.width - 2])
+                head = order[np.flatnonzero(~same)][np.cumsum(~same) - 1]  # of each string's group, in this order
+                again = np.flatnonzero(same)
+                x, y = order[again], head[again]
+                equal = _alike(unit, data.tobytes(), begin[x], end[x], begin[y], end[y])
+                x, y = x[equal], y[equal]
                 sure, goes = np.zeros(len(order), dtype=bool), np.ones(len(order), dtype=bool)
                 if unit.smaller_id:
-                    sure[order] = doc[order] > doc[order][np.flatnonzero(~same)][group]
+                    sure[x] = doc[x] > doc[y]
                     goes = ~sure
                 else:
-                    sure[order] = np.bincount(group)[group] > 1
-                    goes[order] = ~same
-                cols = (doc, marks[row + text], m.view(np.int64), start - first[text], n, (least[start] - start).astype(np.int32), sure, goes)
+                    sure[x] = sure[y] = True
+                    goes[x] = False
+                cols = (doc, marks[row + text], m.view(np.int64), start - first[text], n, (least[start] - start).astype(np.int32), end - begin, sure, goes)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=_CUT_NAMES)
 
     return run
 
 
-_PACKED = "m long, hot boolean, __id long, __hash long, start long, n long, anchor int, sure boolean, packed binary"
+_PACKED = "m long, large boolean, __id long, __hash long, start long, n long, anchor int, sure boolean, packed binary"
 _PACKED_NAMES = [x.split()[0] for x in _PACKED.split(", ")]
 
 
@@ -130,9 +151,9 @@ def _pack(unit: Unit) -> Callable:
                     end = s["start"] + s["n"] + unit.width - 1
                     packed = b" ".join(words[s["start"] : end]) if unit.words else raw[s["start"] : end]
                     size += len(packed)
-                    for c, v in zip(out, (s["m"], s["hot"], i, mark, s["start"], s["n"], s["anchor"], s["sure"], packed), strict=True):
+                    for c, v in zip(out, (s["m"], s["large"], i, mark, s["start"], s["n"], s["anchor"], s["sure"], packed), strict=True):
                         c.append(v)
-                if size > 8 << 20:
+                if size > 4 << 20:
                     yield _record(out)
                     out, size = [[] for _ in _PACKED_NAMES], 0
             yield _record(out)
@@ -176,6 +197,83 @@ def _ranges(ids: np.ndarray, marks: np.ndarray, start: np.ndarray, string: np.nd
     return pa.RecordBatch.from_arrays([pa.array(c) for c in (ids[s], marks[s], start[s] + window[at], start[s] + window[last] + width)], names=["__id", "__hash", "first", "last"])
 
 
+def _halved(unit: Unit, core: int, data: np.ndarray, offsets: np.ndarray, n: np.ndarray, anchor: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Parts of strings whose windows share ``core`` units: (string, first window, windows, anchor, key, bytes [begin, end)).
+
+    A window whose core has half the slack or more on its left goes to the left
+    part, whose key is the core with that half; all others to the right part.
+    """
+    half = (unit.width - core + 1) // 2
+    at = 0
+    while at < len(n):
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + (1 << 20), side="right")) - 1)
+        values, first, lo, hi = _units(unit, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
+        ranges = spans.RangeHash(values)
+        many, place = n[at:to], anchor[at:to].astype(np.int64)
+        cut = np.clip(place - half + 1, 0, many)
+        for skip, count, where in ((np.zeros_like(cut), cut, place - half), (cut, many - cut, place - cut)):
+            some = np.flatnonzero(count)
+            begin = first[some] + skip[some]
+            stop = begin + count[some] + unit.width - 1
+            key = ranges.of(begin + where[some], begin + where[some] + core + half)
+            x, y = (begin, stop) if lo is None else (lo[begin], hi[stop - 1])
+            yield at + some, skip[some], count[some], where[some], key, offsets[at] + x, offsets[at] + y
+        at = to
+
+
+def _equal(unit: Unit, block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """Of strings of one window each those that are repeated, by their text."""
+    raw, cut = block.data.tobytes(), block.offsets.tolist()
+    seen: dict[bytes, int] = {}
+    of = np.fromiter((seen.setdefault(raw[a:b], len(seen)) for a, b in zip(cut[:-1], cut[1:], strict=True)), np.int64, len(cut) - 1)
+    if unit.smaller_id:
+        least = np.full(len(seen), np.iinfo(np.int64).max)
+        np.minimum.at(least, of, block.ids)
+        hit = np.flatnonzero(block.ids > least[of])
+    else:
+        hit = np.flatnonzero((np.bincount(of, minlength=len(seen)) + np.bincount(of, weights=block.sure, minlength=len(seen)) > 1)[of])
+    return hit, np.zeros(len(hit), np.int64)
+
+
+def search(unit: Unit, block: Block, find: Find, core: int) -> tuple[np.ndarray, np.ndarray]:
+    """``find`` on blocks of bounded size."""
+    if len(block.data) <= 2 * unit.block:
+        return find(block)
+    if core >= unit.width:
+        return _equal(unit, block)
+    string, skip, n, anchor, key, begin, end = (np.concatenate(x) for x in zip(*_halved(unit, core, block.data, block.offsets, block.n, block.anchor), strict=True))
+    ids = block.ids[string]
+    order = np.lexsort((ids, key))
+    cut = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+    last = np.append(cut[1:], len(order)) - 1
+    shared = ids[order[cut]] < ids[order[last]] if unit.smaller_id else last > cut
+    raw = block.data.tobytes()
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    waiting: list[np.ndarray] = []
+    size = 0
+
+    def look() -> None:
+        nonlocal size
+        if waiting:
+            mine = np.concatenate(waiting)
+            data = b"".join([raw[i:j] for i, j in zip(begin[mine].tolist(), end[mine].tolist(), strict=True)])
+            part = Block(np.frombuffer(data, np.uint8), np.append(0, np.cumsum(end[mine] - begin[mine])), ids[mine], n[mine], anchor[mine], block.sure[string[mine]])
+            which, window = search(unit, part, find, core + (unit.width - core + 1) // 2)
+            found.append((string[mine[which]], skip[mine[which]] + window))
+        waiting.clear()
+        size = 0
+
+    for i, j in zip(cut[shared].tolist(), (last[shared] + 1).tolist(), strict=True):
+        mine = order[i:j]
+        here = int((end[mine] - begin[mine]).sum())
+        if size + here > unit.block:
+            look()
+        waiting.append(mine)
+        size += here
+    look()
+    return (np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 def _buckets(unit: Unit, find: Find) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[pa.RecordBatch] = []
@@ -189,7 +287,7 @@ def _buckets(unit: Unit, find: Find) -> Callable:
             data = np.frombuffer(col.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
             get = lambda c: rows[c].to_numpy()
             block = Block(data, offsets - offsets[0], get("__id"), get("n"), get("anchor"), get("sure"))
-            return _ranges(block.ids, get("__hash"), get("start"), *find(block), unit.width)
+            return _ranges(block.ids, get("__hash"), get("start"), *search(unit, block, find, unit.k), unit.width)
 
         for b in batches:
             at = 0
@@ -201,7 +299,7 @@ def _buckets(unit: Unit, find: Find) -> Callable:
             done = 0
             for c in cuts:
                 here = int(bytes_to[c - 1]) - done if c else 0
-                if size + here >= BLOCK_BYTES:
+                if size + here >= unit.block:
                     if c > at:
                         parts.append(b.slice(at, c - at))
                     yield look(pa.Table.from_batches(parts))
@@ -216,49 +314,73 @@ def _buckets(unit: Unit, find: Find) -> Callable:
     return run
 
 
-def _windows(unit: Unit) -> Callable:
-    """Single windows of hot strings: two hashes each."""
-
+def _divide(unit: Unit, core: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row, data, offsets in spans.pieces(b.column(8).cast(pa.large_binary()).view(pa.large_string()), 1 << 20):
-                values, first = _units(unit, data, offsets)
-                n = b.column(5).to_numpy()[row : row + len(offsets) - 1]
-                string = np.repeat(np.arange(len(n)), n)
-                window = np.arange(len(string)) - np.repeat(np.cumsum(n) - n, n)
-                at = first[string] + window
-                h = [spans.RangeHash(values, w).of(at, at + unit.width).view(np.int64) for w in (0, 1)]
-                take = lambda c: b.column(c).to_numpy(zero_copy_only=False)[row + string]  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*h, take(2), take(3), take(4) + window, take(7))], names=["h", "g", "__id", "__hash", "first", "sure"])
+                raw, mine = data.tobytes(), b.slice(row, len(offsets) - 1)
+                start, n, anchor = (mine.column(c).to_numpy() for c in (4, 5, 6))
+                for some, skip, many, at, key, x, y in _halved(unit, core, data, offsets, n, anchor):
+                    take = lambda c: mine.column(c).take(pa.array(some))  # noqa: E731, B023
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(key.view(np.int64)), take(1), take(2), take(3), pa.array(start[some] + skip), pa.array(many), pa.array(at.astype(np.int32)), take(7), pa.array([raw[i:j] for i, j in zip(x.tolist(), y.tolist(), strict=True)], pa.binary())],
+                        names=_PACKED_NAMES,
+                    )
 
     return run
 
 
+def _shared(unit: Unit, strings: DataFrame, size: Column) -> DataFrame:
+    """(m, large): keys that can have repeated windows."""
+    by = strings.groupBy("m")
+    if unit.smaller_id:
+        keys = by.agg(F.sum(size).alias("size"), F.min("__id").alias("lo"), F.max("__id").alias("hi")).filter("lo < hi")
+    else:
+        keys = by.agg(F.sum(size).alias("size"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    return keys.select("m", (F.col("size") > unit.bucket).alias("large"))
+
+
+def _divided(unit: Unit, large: DataFrame, name: str) -> tuple[DataFrame | None, DataFrame | None]:
+    """Strings of large buckets dealt to small ones, and single windows that are too many for a bucket."""
+    small, core = None, unit.k
+    while core < unit.width:
+        parts = keep(large.mapInArrow(_divide(unit, core), _PACKED).drop("large"), f"{name}-divided")
+        core += (unit.width - core + 1) // 2
+        keys = keep(_shared(unit, parts, F.octet_length("packed")), f"{name}-divided-keys")
+        parts = parts.join(keys, "m").select(*_PACKED_NAMES)
+        few = parts.filter("not large")
+        small = few if small is None else small.unionByName(few)
+        if not keys.filter("large").head(1):
+            return small, None
+        large = parts.filter("large")
+    return small, large
+
+
 def repeated_ranges(rows: DataFrame, unit: Unit, find: Find, name: str) -> DataFrame:
     """(__id, __hash, ranges): for each text with repeated windows the unit ranges that they cover; rows has __id, __hash, text."""
     cut = keep(rows.mapInArrow(_cut(unit), _CUT), f"{name}-minimisers")
     going = cut.filter("goes")
-    if unit.smaller_id:
-        often = going.groupBy("m").agg(F.min("__id").alias("lo"), F.max("__id").alias("hi"), F.count(F.lit(1)).alias("k")).filter("lo < hi")
-    else:
-        often = going.groupBy("m").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
-    often = often.select("m", (F.col("k") > unit.hot).alias("hot"))
-    wanted = going.join(often, "m").groupBy("__id", "__hash").agg(F.collect_list(F.struct("start", "n", "m", "anchor", "hot", "sure")).alias("spans"))
+    often = keep(_shared(unit, going, F.col("bytes")), f"{name}-shared")
+    # sets, so that repeated rows don't multiply
+    wanted = going.join(often, "m").groupBy("__id", "__hash").agg(F.collect_set(F.struct("start", "n", "m", "anchor", "large", "sure")).alias("spans"))
     # a text's whole strings that its own task has settled, and what the buckets find
-    settled = cut.filter("sure").select("__id", "__hash", F.col("start").alias("first"), (F.col("start") + F.col("n") + (unit.width - 1)).alias("last"))
+    end = lambda n: F.col("start") + n + (unit.width - 1)
+    found = cut.filter("sure").select("__id", "__hash", F.col("start").alias("first"), end(F.col("n")).alias("last"))
     packed = rows.join(wanted, ["__id", "__hash"]).select("__id", "__hash", "text", "spans").mapInArrow(_pack(unit), _PACKED)
-    bucketed = packed.filter("not hot").repartition("m").sortWithinPartitions("m", "__id").mapInArrow(_buckets(unit, find), _RANGES)
-    found = settled.unionByName(bucketed)
-    if often.filter("hot").head(1):
-        single = keep(packed.filter("hot").mapInArrow(_windows(unit), "h long, g long, __id long, __hash long, first long, sure boolean"), f"{name}-hot")
-        if unit.smaller_id:
-            firsts = single.groupBy("h", "g").agg(F.min("__id").alias("lo"), F.max("__id").alias("hi")).filter("lo < hi")
-            later = single.join(firsts, ["h", "g"]).filter("__id > lo")
-        else:
-            firsts = single.groupBy("h", "g").agg(F.count(F.lit(1)).alias("k"), F.max("sure").alias("s")).filter("k > 1 or s").select("h", "g")
-            later = single.join(firsts, ["h", "g"], "left_semi")
-        found = found.unionByName(later.select("__id", "__hash", "first", (F.col("first") + unit.width).alias("last")))
-    return found.groupBy("__id", "__hash").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    if often.filter("large").head(1):
+        packed = keep(packed, f"{name}-strings")
+        divided, single = _divided(unit, packed.filter("large"), name)
+        packed = packed.filter("not large")
+        packed = packed if divided is None else packed.unionByName(divided)
+        if single is not None:
+            by = single.groupBy("packed")
+            if unit.smaller_id:
+                later = single.join(by.agg(F.min("__id").alias("lo")), "packed").filter("__id > lo")
+            else:
+                later = single.join(by.agg(F.count(F.lit(1)).alias("k"), F.max("sure").alias("again")).filter("k > 1 or again"), "packed", "left_semi")
+            found = found.unionByName(later.select("__id", "__hash", F.col("start").alias("first"), end(F.lit(1)).alias("last")))
+    found = found.unionByName(packed.repartition("m").sortWithinPartitions("m", "__id").mapInArrow(_buckets(unit, find), _RANGES))
+    return found.groupBy("__id", "__hash").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import spans
-from .superkmers import HOT_STRINGS, Block, Unit, doc_id, keyed, repeated_ranges
+from .superkmers import BLOCK_BYTES, BUCKET_BYTES, Block, Unit, doc_id, keyed, repeated_ranges
 
 WIDTH, K = 50, 16
 
@@ -80,18 +80,18 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def _joined(docs: DataFrame, id_col: str, text_col: str, width: int, k: int, hot: int) -> DataFrame:
+def _joined(docs: DataFrame, id_col: str, text_col: str, width: int, k: int, bucket: int, block: int) -> DataFrame:
     rows = keyed(docs, id_col, text_col)
-    gone = repeated_ranges(rows, Unit(words=True, width=width, k=k, smaller_id=True, hot=hot), _find(width), "words")
+    gone = repeated_ranges(rows, Unit(words=True, width=width, k=k, smaller_id=True, bucket=bucket, block=block), _find(width), "words")
     return rows.join(gone, ["__id", "__hash"], "left").select(doc_id(), "text", "ranges")
 
 
-def window_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, k: int = K, hot: int = HOT_STRINGS) -> DataFrame:
+def window_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, k: int = K, bucket: int = BUCKET_BYTES, block: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed and the kept words, joined by one space."""
-    out = _joined(docs, id_col, text_col, width, k, hot).mapInArrow(_rest, "doc_id long, n_words long, n_removed long, kept binary")
+    out = _joined(docs, id_col, text_col, width, k, bucket, block).mapInArrow(_rest, "doc_id long, n_words long, n_removed long, kept binary")
     return out.withColumn("kept", F.decode("kept", "UTF-8"))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _joined(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", WIDTH, K, HOT_STRINGS)
+    rows = _joined(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", WIDTH, K, BUCKET_BYTES, BLOCK_BYTES)
     return rows.mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
