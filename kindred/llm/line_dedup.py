@@ -10,6 +10,7 @@ hold is reduced before it is shuffled.  The join that marks later occurrences
 is an ordinary equi-join whose hot keys adaptive execution may split; it moves
 ids, positions and hashes, never text.
 
+A text's work grows in proportion to its lines, however many of them go.
 Lines are what ``\\n`` separates, compared exactly.  Null text is empty: one
 empty line, kept as null.  Texts under three lines have no window and stay
 whole.  A null doc_id sorts before all others; rows that repeat both id and
@@ -32,8 +33,8 @@ def _lines(text: Column) -> Column:
 def repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """(__id, __hash, __lines): for each text with later occurrences the numbers of the lines that they cover."""
     lines = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__hash"), _lines(F.col(text_col)).alias("l")).filter(F.size("l") >= window)
-    hashed = F.transform(F.sequence(F.lit(1), F.size("l") - (window - 1)), lambda i: F.unhex(F.md5(F.array_join(F.slice("l", i, window), "\n").cast("binary"))))
-    windows = lines.select("__id", "__hash", F.posexplode(hashed).alias("pos", "w"))
+    hashed = F.transform(F.array("l"), lambda l: F.transform(F.sequence(F.lit(1), F.size(l) - (window - 1)), lambda i: F.unhex(F.md5(F.array_join(F.slice(l, i, window), "\n").cast("binary")))))
+    windows = lines.select("__id", "__hash", F.posexplode(F.get(hashed, F.lit(0))).alias("pos", "w"))
     place = F.struct("__id", "pos", "__hash")
     seen = windows.groupBy("w").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("w", "first")
     later = windows.join(seen, "w").filter(~place.eqNullSafe(F.col("first")))
@@ -48,8 +49,9 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(*names).alias("d")
     joined = rows.join(gone, F.col(f"d.`{id_col}`").eqNullSafe(F.col("__id")) & (F.xxhash64(f"d.`{text_col}`") == F.col("__hash")), "left")
     lines = _lines(F.col(text_col))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__lines")), lambda i: F.get(lines, i))
-    text = F.when(F.col("__lines").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    # the one-element array makes the lines a variable: split once, not for each line that stays
+    kept = F.transform(F.array(lines), lambda l: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(l) - 1), F.col("__lines")), lambda i: F.get(l, i)), "\n"))
+    text = F.when(F.col("__lines").isNull(), F.col(text_col)).otherwise(F.get(kept, F.lit(0)))
     return joined.select(
         *(text.alias(c) if c == text_col else F.col(f"d.`{c}`") for c in names),
         F.size(lines).cast("long").alias("n_lines"),
