@@ -9,7 +9,10 @@ template's words that were aligned.
 
 All work is done where a text is read; nothing is shuffled.  Words are runs of
 letters and digits of the lower-cased text.  Null and empty texts give
-nothing; very long texts are scanned whole; a text that holds a license twice
+nothing; templates without words match nothing; very long texts are scanned
+whole; a place is as long as the template and a quarter, so a copy with more
+than that inserted is not seen; places of several templates may overlap, each
+is a row (of equal templates too); a text that holds a license twice
 gives two rows; repeated rows are judged each on their own, and a null id stays
 null.  Empty tables give empty results; other columns are ignored.
 """
@@ -87,8 +90,10 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
 
 def _scan(templates: dict[str, str], min_coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = sorted(templates)
-        parts = [word for name in names for _, word, _ in word_runs([templates[name]])]
+        worded = {name: word for name in sorted(templates) for _, word, _ in word_runs([templates[name]]) if len(word)}
+        names, parts = list(worded), list(worded.values())
+        if not names:
+            return
         known = np.unique(np.concatenate(parts))
         marks = np.zeros((len(names), len(known)), dtype=bool)
         for t, part in enumerate(parts):
