@@ -15,7 +15,8 @@ of them).  So any K - ``min_seeds`` seeds may be left out if ``min_seeds`` of
 the others are asked for; those with most occurrences in the corpus are.
 
 Words are runs of letters and digits of the lower-cased text.  Null and empty
-texts give nothing.  Items under three words match nothing; those for which K
+texts give nothing; very long texts are read whole, and only their candidate
+places are aligned.  Of alignments with equal scores the first is reported.  Items under three words match nothing; those for which K
 is 1 need one seed.  Rows that repeat an id are judged each by their own text; a null id stays null.  Empty tables give empty results; other
 columns are ignored.
 """
@@ -30,7 +31,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import spans
-from .ngram_join import BROADCAST_IDS
 from .store import keep
 from .superkmers import doc_id, keyed
 
@@ -42,6 +42,8 @@ MIN_SCORE = 0.5
 MIN_SEEDS = 2
 #: Cells of alignment tables that are filled at once.
 CELLS = 1 << 16
+#: Candidates, measured with their items' words, up to which they are broadcast; beyond, the texts are shuffled.
+BROADCAST_BYTES = 32 << 20
 
 
 def word_runs(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -183,8 +185,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     places = near.groupBy("__id", "__hash", "item", "size", "place").agg(F.count_distinct("pos").alias("k")).filter(F.col("k") >= enough)
     found = places.groupBy("__id", "__hash", "item").agg(F.collect_set("place").alias("places")).join(items, "item")
     wanted = keep(found.groupBy("__id", "__hash").agg(F.collect_list(F.struct("item_id", "words", "places")).alias("items")), "candidates")
-    few = wanted.agg(F.sum(F.size("items"))).first()[0] or 0
-    if few * 1000 <= BROADCAST_IDS * 8:  # rows of some hundred bytes
+    size = F.aggregate("items", F.lit(0).cast("long"), lambda total, x: total + 8 * F.size(x["words"]) + 8 * F.size(x["places"]) + 64)
+    if (wanted.agg(F.sum(size + 64)).first()[0] or 0) <= BROADCAST_BYTES:
         wanted = F.broadcast(wanted)
     aligned = rows.join(wanted, ["__id", "__hash"]).select(doc_id(), "text", "items").mapInArrow(_align, "doc_id long, item_id long, score double, start_word long, end_word long")
     return aligned.filter(F.col("score") >= min_score).groupBy("doc_id", "item_id").agg(F.max_by(F.struct("score", "start_word", "end_word"), F.struct("score", -F.col("start_word"))).alias("x")).select("doc_id", "item_id", F.round("x.score", 6).alias("score"), "x.start_word", "x.end_word")
