@@ -4,9 +4,14 @@ Rules name a host (with all its subdomains) and a path prefix; the longest rule
 that fits decides.  Urls that no rule fits are judged by boosted trees learned
 from those that rules label: a level of a tree is one aggregation to
 (node, feature, bin) sums of gradients, whose size is fixed, and the finished
-trees are one SQL expression.  Trees are fitted on at most about
-``sample_rows`` labelled rows, chosen by a hash of the url; suffix statistics
-come from all labelled rows, and all rows are judged.
+trees are one SQL expression.
+
+Suffix statistics say how often urls with the same host suffix are blocked: of
+the last label, of the last two, and of the last label with the first directory
+of the path.  They come from all labelled rows by partial aggregation; for a
+row that trains the trees its own fold is left out, so that no row is judged by
+its own label.  A suffix without labelled rows has the overall share.  Trees are fitted on at most about ``sample_rows`` labelled
+rows, chosen by a hash of id and url; all rows are judged.
 
 Null urls and those without ``://`` have an empty host and path and fit no
 rule.  Repeated urls and ids are judged each on their own.  With no labelled
@@ -26,7 +31,9 @@ from .exact_dedup import LOWER, UPPER
 from .store import keep
 
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-FEATURES = ("url_length", "path_length", "depth", "digit_ratio", "entropy", "params", "host_labels", "host_hyphens", "suffix_block", "suffix_share")
+FEATURES = ("url_length", "path_length", "depth", "digit_ratio", "entropy", "params", "host_labels", "host_hyphens", "label_block", "domain_block", "directory_block")
+#: What suffix statistics are kept for.
+SUFFIXES = ("label", "domain", "directory")
 
 
 @dataclass(frozen=True)
@@ -37,6 +44,9 @@ class Boosting:
     rate: float = 0.3
     l2: float = 1.0
     sample_rows: int = 20_000
+    folds: int = 5
+    #: Rows of the overall share that a suffix's statistics are smoothed with.
+    smooth: float = 10.0
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -67,12 +77,14 @@ def _count(s: Column, what: str) -> Column:
 
 
 def url_features(rows: DataFrame) -> DataFrame:
-    """Adds the lexical features to (url, host, path) and the host's suffix."""
+    """Adds the lexical features to (url, host, path), and the suffixes that have statistics."""
     url = F.coalesce("url", F.lit(""))
     query = F.regexp_extract(url, "\\?([^#]*)", 1)
     return rows.select(
         "*",
-        F.element_at(F.split("host", "\\."), -1).alias("suffix"),
+        F.substring_index("host", ".", -1).alias("label"),
+        F.substring_index("host", ".", -2).alias("domain"),
+        F.concat(F.substring_index("host", ".", -1), F.lit("/"), F.regexp_extract("path", "^/([^/]*)", 1)).alias("directory"),
         F.length(url).cast("double").alias("url_length"),
         F.length("path").cast("double").alias("path_length"),
         _count(F.col("path"), "/").alias("depth"),
@@ -93,31 +105,36 @@ def _bin(feature: str, cuts: list[float]) -> Column:
 
 def fit(sample: DataFrame, how: Boosting) -> tuple[Column, float]:
     """The margin of ``block`` as an expression over the features, and its constant part; ``sample`` has them and y (0 or 1)."""
-    total = sample.agg(F.count(F.lit(1)), F.sum("y"), *(F.percentile_approx(f, [k / how.bins for k in range(1, how.bins)], 10_000) for f in FEATURES)).first()
+    total = sample.agg(F.count(F.lit(1)), F.sum("y"), *(F.percentile_approx(f, [k / how.bins for k in range(how.bins + 1)], 10_000) for f in FEATURES)).first()
     n, ones = total[0], total[1] or 0
     base = math.log((ones + 0.5) / (n - ones + 1.5))  # without labels slightly towards allow
     margin = F.lit(base)
-    cuts = {f: sorted(set(total[2 + i] or [])) for i, f in enumerate(FEATURES)}
+    # halfway between quantiles, so that a value that no labelled row has goes to the nearer side
+    cuts = {}
+    for i, f in enumerate(FEATURES):
+        values = sorted(set(total[2 + i] or []))
+        cuts[f] = [(a + b) / 2 for a, b in zip(values[:-1], values[1:], strict=True)]
     if not 0 < ones < n:
         return margin, base
+    # a row's bins once, so that each level only sums
+    binned = keep(sample.select("y", *FEATURES, F.array(*(F.struct(F.lit(i).alias("f"), _bin(f, cuts[f]).alias("b")) for i, f in enumerate(FEATURES))).alias("bins")), "url-bins")
     for _ in range(how.trees):
         p = 1 / (1 + F.exp(-margin))
-        rows = sample.select(*FEATURES, (p - F.col("y")).alias("g"), (p * (1 - p)).alias("h"))
+        rows = binned.select(*FEATURES, "bins", (p - F.col("y")).alias("g"), (p * (1 - p)).alias("h"))
         split: dict[int, tuple[str, float]] = {}
         leaves: dict[int, float] = {}
         node = F.lit(1)
         open_nodes = {1}
         for _ in range(how.depth):
-            bins = F.array(*(F.struct(F.lit(f).alias("f"), _bin(f, cuts[f]).alias("b")) for f in FEATURES))
-            sums = rows.select(node.alias("node"), "g", "h", F.explode(bins).alias("x")).groupBy("node", "x.f", "x.b").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()  # at most nodes x features x bins
+            sums = rows.select(node.alias("node"), "g", "h", F.explode("bins").alias("x")).groupBy("node", "x.f", "x.b").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()  # at most nodes x features x bins
             found: dict[int, tuple[str, float]] = {}
             for at in open_nodes:
                 own = [r for r in sums if r["node"] == at]
-                g, h = (sum(r[k] for r in own if r["f"] == FEATURES[0]) for k in ("g", "h"))
+                g, h = (sum(r[k] for r in own if r["f"] == 0) for k in ("g", "h"))
                 best = 1e-6
-                for f in FEATURES:
+                for i, f in enumerate(FEATURES):
                     left_g = left_h = 0.0
-                    by = {r["b"]: r for r in own if r["f"] == f}
+                    by = {r["b"]: r for r in own if r["f"] == i}
                     for b, cut in enumerate(cuts[f]):
                         if b in by:
                             left_g, left_h = left_g + by[b]["g"], left_h + by[b]["h"]
@@ -127,7 +144,7 @@ def fit(sample: DataFrame, how: Boosting) -> tuple[Column, float]:
                 leaves[at] = -how.rate * g / (h + how.l2)
                 if at in found:
                     f, cut = found[at]
-                    below = [r for r in own if r["f"] == f and r["b"] <= cuts[f].index(cut)]
+                    below = [r for r in own if r["f"] == FEATURES.index(f) and r["b"] <= cuts[f].index(cut)]
                     lg, lh = sum(r["g"] for r in below), sum(r["h"] for r in below)
                     leaves[2 * at], leaves[2 * at + 1] = -how.rate * lg / (lh + how.l2), -how.rate * (g - lg) / (h - lh + how.l2)
             if not found:
@@ -149,22 +166,50 @@ def fit(sample: DataFrame, how: Boosting) -> tuple[Column, float]:
     return margin, base
 
 
+def suffix_counts(labelled: DataFrame) -> DataFrame:
+    """(kind, suffix, fold, n, blocked) of rows with the suffixes, fold and y."""
+    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("suffix")) for k in SUFFIXES)))
+    return labelled.select("fold", "y", kinds.alias("x")).groupBy("x.kind", "x.suffix", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("blocked"))
+
+
+def with_statistics(rows: DataFrame, counts: DataFrame, how: Boosting, prior: float, *, own_fold: bool) -> DataFrame:
+    """Adds the suffix statistics; without ``own_fold`` the rows' own fold does not count."""
+    for kind in SUFFIXES:
+        mine = counts.filter(F.col("kind") == kind)
+        whole = mine.groupBy(F.col("suffix").alias(kind)).agg(F.sum("n").alias("all_n"), F.sum("blocked").alias("all_blocked"))
+        rows = rows.join(whole, kind, "left")
+        many, bad = F.coalesce("all_n", F.lit(0)), F.coalesce("all_blocked", F.lit(0.0))
+        if not own_fold:
+            rows = rows.join(mine.select(F.col("suffix").alias(kind), "fold", F.col("n").alias("own_n"), F.col("blocked").alias("own_blocked")), [kind, "fold"], "left")
+            many, bad = many - F.coalesce("own_n", F.lit(0)), bad - F.coalesce("own_blocked", F.lit(0.0))
+        share = (bad + how.smooth * prior) / (many + how.smooth)
+        rows = rows.withColumn(f"{kind}_block", share).drop("all_n", "all_blocked", "own_n", "own_blocked")
+    return rows
+
+
+def learn(labelled: DataFrame, how: Boosting = Boosting()) -> tuple[Column, DataFrame, float]:
+    """The margin of ``block`` over the features, the suffix counts and the labelled rows' share of blocks; rows as of ``url_features``, with y and pick."""
+    labelled = labelled.withColumn("fold", F.pmod(F.shiftright("pick", 32), F.lit(how.folds)).cast("int"))
+    counts = keep(suffix_counts(labelled), "url-suffixes")
+    n, blocked = counts.filter(F.col("kind") == SUFFIXES[0]).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("blocked"), F.lit(0.0))).first()
+    prior = (blocked + 0.5) / (n + 1.0)
+    sample = labelled
+    if n > how.sample_rows:
+        sample = sample.filter(F.pmod("pick", F.lit(1_000_000)) < int(1e6 * how.sample_rows / n))
+    sample = with_statistics(sample, counts, how, prior, own_fold=False)
+    margin, _ = fit(keep(sample.select(*FEATURES, "y").coalesce(8), "url-sample"), how)
+    return margin, counts, prior
+
+
 def url_filter(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules: tuple[tuple[str, str], ...] = RULES, how: Boosting = Boosting()) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, block_score (the trees' probability of block)."""
     host, path = split_url(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = url_features(rows.select("*", name.alias("rule"), verdict.alias("said")))
-    labelled = rows.filter("said is not null").select("suffix", F.when(F.col("said") == "block", 1.0).otherwise(0.0).alias("y"))
-    counts = keep(labelled.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("blocked")), "url-suffixes")
-    n, blocked = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("blocked"), F.lit(0.0))).first()
-    prior = (blocked + 0.5) / (n + 1.0)
-    stats = counts.select("suffix", ((F.col("blocked") + 10 * prior) / (F.col("n") + 10)).alias("suffix_block"), (F.col("n") / max(n, 1)).alias("suffix_share"))
-    rows = rows.join(stats, "suffix", "left").na.fill({"suffix_block": prior, "suffix_share": 0.0})
-    sample = rows.filter("said is not null").select(*FEATURES, F.when(F.col("said") == "block", 1.0).otherwise(0.0).alias("y"), F.xxhash64("url").alias("pick"))
-    if n > how.sample_rows:
-        sample = sample.filter(F.pmod("pick", F.lit(1_000_000)) < int(1e6 * how.sample_rows / n))
-    margin, _ = fit(keep(sample.drop("pick").coalesce(8), "url-sample"), how)
+    labelled = rows.filter("said is not null").withColumns({"y": F.when(F.col("said") == "block", 1.0).otherwise(0.0), "pick": F.xxhash64("page_id", "url")})
+    margin, counts, prior = learn(labelled, how)
+    rows = with_statistics(rows, counts, how, prior, own_fold=True)
     score = 1 / (1 + F.exp(-margin))
     return rows.select("page_id", "host", "path", "rule", F.coalesce("said", F.when(score > 0.5, "block").otherwise("allow")).alias("verdict"), score.alias("block_score"))
 
