@@ -10,8 +10,9 @@ sets of distinct five-word shingles (64-bit hashes).  No link is lost:
 2. Rare-first prefix filtering: shingles are ordered by corpus frequency (a
    count sketch of fixed size), and similar sets share one of their first
    ``n - ceil(threshold * n) + 1``.  Prefix rows meet by hash; length,
-   positional and suffix filters (a lower bound of the sets' difference from
-   512 parity bits) drop pairs, and each that is left is verified once.
+   positional and suffix filters (a lower bound of the sets' difference: the
+   hash space is cut into 512 parts, and a part whose counts differ in parity
+   holds a difference) drop pairs, and each that is left is verified once.
 3. Groups of thousands of near copies would give all their pairs, so pairs are
    made in steps: first each prefix hash's rows with one hub row of that hash,
    twice with other hubs; then, exhaustively, all rows that share a prefix
@@ -32,7 +33,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,14 +79,14 @@ def _info(n: int):
     return run
 
 
-def _deal(n: int, keys: np.ndarray):
+def _deal(n: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = TaskContext.get().partitionId() << 32
+        dealer = blocks.Dealer(bits)
         for b in batches:
             ids = b.column(0).to_numpy()
             for at, rows, owner, hashes in shingle_sets(b.column(1), n):
-                yield from blocks.deal(ids[at : at + rows], owner, hashes, keys, chunk)
-                chunk += 1
+                yield from dealer.add(ids[at : at + rows], owner, hashes)
+        yield from dealer.flush()
 
     return run
 
@@ -224,10 +224,8 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     info = keep(rows.mapInArrow(_info(words), "doc_id long, n long, digest binary"), "ngram-info")
     known = rows.filter("doc_id is not null")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = known.mapInArrow(_deal(words, blocks.keys_for(parts)), blocks.SCHEMA).repartition(parts, "key")
-    counted = dealt.mapInArrow(blocks.shared_counts, blocks.COUNTS).repartition(parts, "chunk")
-    shared = counted.mapInArrow(blocks.add_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("shared"))
+    bits = blocks.bits_for(info.agg(F.sum("n")).first()[0] or 0)
+    shared = blocks.shared_counts(known.mapInArrow(_deal(words, bits), blocks.SCHEMA)).groupBy("id").agg(F.sum("n").alias("shared"))
     could = info.filter("n > 0").join(shared, F.col("doc_id") == F.col("id")).filter(F.col("shared") * 100 >= threshold * F.col("n")).select("doc_id", "digest")
     classes = could.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     member = keep(could.join(classes, "digest").select("doc_id", "rep").distinct(), "ngram-members")

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 #: Texts are hashed in pieces of about so many bytes, to bound memory.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -36,7 +36,7 @@ def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**k and BASE**-k for k <= n."""
     have = _powers.get(which)
     if have is None or len(have[0]) <= n:
-        size = max(n + 1, CHUNK_BYTES // 2)
+        size = max(n + 1, CHUNK_BYTES)
         base = _BASES[which]
         out = []
         for b in (base, pow(base, -1, 1 << 64)):

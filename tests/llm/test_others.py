@@ -24,7 +24,15 @@ def tokenizer():
 @given(st.text(alphabet=" \n\t\r 　ab'éß中!.<|>endoftxs9\u0085\U0001f600", max_size=60))
 def test_ids_are_the_tokenizers(text):
     encode = packing.encoder(packing.public_tokenizer())
-    assert np.frombuffer(encode.ids(text), "<u4").tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
+    [ids, again] = encode.ids([text, text])
+    assert ids == again and np.frombuffer(ids, "<u4").tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "a b\n" + " \n" * 500_000 + "c", "x" * 300_000, "word and " * 200_000])
+def test_ids_of_very_long_texts(text):
+    encode = packing.encoder(packing.public_tokenizer())
+    [ids] = encode.ids([text])
+    assert np.frombuffer(ids, "<u4").tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def check_packing(pieces, rows):
@@ -98,6 +106,38 @@ def test_languages(spark):
     assert kept.columns == docs.columns and kept.count() == len(rows) + 2
 
 
+def test_languages_against_exact_sets(spark):
+    """The filters against plain sets of n-grams on whole test tables."""
+    d = "/root/testdata/sf0.001/documents.parquet"
+    docs = spark.read.parquet(d)
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.collect()]
+
+    def grams(t):
+        raw = f" {t.lower()}  ".encode()
+        raw = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in raw)
+        return [g for k in range(len(raw) - 3) if (g := raw[k : k + 4]) != b"    "]
+
+    learned = [(t or "", k) for i, t, k in rows if k is not None and zlib.crc32(str(i).encode()) % 5]
+    size, count = Counter(k for _, k in learned), defaultdict(Counter)
+    for t, k in learned:
+        count[k].update(set(grams(t)))
+    known = {k: {g for g, n in c.items() if n >= max(2, 0.01 * size[k])} for k, c in count.items()}
+    got = {r.doc_id: r for r in language_id.identify(docs, language_id.learn(docs)).collect()}
+    assert got.keys() == {i for i, _, _ in rows}
+    same = 0
+    for i, t, _ in rows:
+        if not t or not any(map(str.isalpha, t)):
+            assert got[i].lang_pred == "und" and got[i].score == 0
+            same += 1
+            continue
+        share = {k: sum(g in known[k] for g in grams(t)) / len(grams(t)) for k in known}
+        top = max(share.values())
+        assert abs(got[i].score - top) < 0.02
+        assert share[got[i].lang_pred] > top - 0.02
+        same += share[got[i].lang_pred] == top
+    assert same / len(rows) > 0.99
+
+
 def test_language_model_learns_from_no_held_out_row(spark):
     rows = [(i, "thing other", "aa" if zlib.crc32(str(i).encode()) % 5 else "zz") for i in range(100)]
     assert language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string")).languages == ("aa",)
@@ -187,6 +227,61 @@ def test_licenses(spark):
     assert {i for i, _ in got} == {0, 1, 6}
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(0, 9), max_size=12, unique=True))
+def test_longest_increasing(values):
+    got = license_scan._increasing(list(enumerate(values)))
+    best = []
+    for k, y in enumerate(values):
+        best.append(1 + max((n for n, z in zip(best, values) if z < y), default=0))
+    assert len(got) == max(best, default=0) and got == sorted(got) and [y for _, y in got] == sorted(y for _, y in got)
+
+
+def plain_scan(text, template):
+    """Places of a template in a text: [start, coverage], each the first one after the last."""
+    words = lambda t: "".join(c if c.isascii() and c.isalnum() or ord(c) > 127 else " " for c in t.lower()).split()
+    a, t = words(text), words(template)
+    need, reach = -(-len(t) * 8 // 10), len(t) + len(t) // 4
+    marked = [i for i, w in enumerate(a) if w in set(t)]
+    k = 0
+    while t and k + need <= len(marked):
+        i = marked[k]
+        k += 1
+        if marked[k + need - 2] - i >= reach:
+            continue
+        pairs = license_scan.patience(a[i : i + reach], t)
+        if len(pairs) >= need:
+            yield i + pairs[0][0], round(len(pairs) / len(t), 9)
+            k = next((x for x, m in enumerate(marked) if m > i + pairs[-1][0]), len(marked))
+
+
+def test_licenses_against_plain_code(spark):
+    import random
+
+    r = random.Random(4)
+    templates = {"one": "alpha beta gamma delta epsilon zeta eta theta iota kappa", "two": "All rights reserved.", "three": " ".join(f"w{k}" for k in range(40)), "none": "!!", "empty": ""}
+    texts = []
+    for i in range(120):
+        words = [r.choice(["alpha", "beta", "x", "y", "all", "rights", "w3", "w7"]) for _ in range(r.randint(0, 30))]
+        for _ in range(r.randint(0, 3)):
+            copy = templates[r.choice(list(templates))].split()
+            for _ in range(r.randint(0, 3)):
+                if copy:
+                    k = r.randrange(len(copy))
+                    copy[k : k + r.randint(0, 1)] = [r.choice(["edited", "alpha", "w5"])] * r.randint(0, 2)
+            at = r.randrange(len(words) + 1)
+            words[at:at] = copy
+        texts.append((i, " ".join(words)))
+    want = Counter((i, name, *x) for i, t in texts for name, template in templates.items() for x in plain_scan(t, template))
+    got = Counter((x.doc_id, x.license, x.start_word, round(x.coverage, 9)) for x in license_scan.license_scan(frame(spark, texts), templates=templates).collect())
+    assert len(want) > 60 and got == want
+
+
+@pytest.mark.parametrize("templates", [{}, {"none": ""}, {"none": "..."}])
+def test_templates_without_words(spark, templates):
+    assert license_scan.license_scan(frame(spark, ROWS), templates=templates).collect() == []
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(0, 6), max_size=14), st.lists(st.integers(0, 6), max_size=14))
 def test_patience_is_an_alignment(a, b):
@@ -222,15 +317,31 @@ def test_urls(spark):
         assert x.rule is None or x.verdict == verdicts[x.rule]
 
 
+def held_out(spark, pages, how, part):
+    """Share of labelled urls that trees fitted on the others judge as the rules do, and the larger class's share."""
+    host, path = url_filter.split_url(pages.url)
+    rows = pages.select("page_id", "url", host.alias("host"), path.alias("path"), *[c for c in ("said",) if c in pages.columns])
+    if "said" not in rows.columns:
+        rows = rows.withColumn("said", url_filter.rule_of(rows.host, rows.path)[1])
+    rows = url_filter.url_features(rows.filter("said is not null")).selectExpr("*", "if(said = 'block', 1D, 0D) as y", "xxhash64(page_id, url) as pick")
+    margin, counts, prior = url_filter.learn(rows.filter(f"not ({part})"), how)
+    got = url_filter.with_statistics(rows.filter(part), counts, how, prior, own_fold=True).select("y", margin.alias("m")).collect()
+    blocked = sum(r.y for r in got) / len(got)
+    return sum((r.m > 0) == (r.y == 1) for r in got) / len(got), max(blocked, 1 - blocked)
+
+
 def test_trees_learn(spark):
     """Held-out accuracy of the trees on a label that the features decide."""
-    rows = [(k, f"http://{'a-b-c' if k % 3 == 0 else 'abc'}{k}.net/{'x' * (k % 17)}", k % 3 == 0) for k in range(400)]
-    df = spark.createDataFrame(rows, "page_id long, url string, bad boolean")
-    host, path = url_filter.split_url(df.url)
-    full = url_filter.url_features(df.select("page_id", "url", "bad", host.alias("host"), path.alias("path"))).selectExpr("*", "cast(bad as double) as y", "0.5D as suffix_block", "1.0D as suffix_share")
-    margin, _ = url_filter.fit(full.filter("page_id < 300").cache(), url_filter.Boosting(trees=3, depth=2))
-    held = full.filter("page_id >= 300").select("bad", (margin > 0).alias("said")).collect()
-    assert sum(r.bad == r.said for r in held) / len(held) > 0.97
+    rows = [(k, f"http://{'a-b-c' if k % 3 == 0 else 'abc'}{k}.net/{'x' * (k % 17)}", "block" if k % 3 == 0 else "allow") for k in range(400)]
+    right, _ = held_out(spark, spark.createDataFrame(rows, "page_id long, url string, said string"), url_filter.Boosting(trees=3, depth=2), "page_id >= 300")
+    assert right > 0.97
+
+
+def test_trees_judge_held_out_urls(spark):
+    """On the test pages, urls that rules decide: well above always saying the larger class."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    right, larger = held_out(spark, pages, url_filter.Boosting(), "page_id % 5 = 0")
+    assert right > larger + 0.1 and right > 0.9
 
 
 @settings(max_examples=60, deadline=None)
