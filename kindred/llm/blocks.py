@@ -9,8 +9,9 @@ sorted at once and the counts go back by chunk.
 
 The keys follow from the number of hashes (``KEY`` each) and not from the
 number of partitions, and a block is only made where it holds something: there
-are never more blocks than hashes, and hundreds of hashes in a block up to some
-hundred gigabytes of text.  Hashes count as equal if all bits that travel are,
+are never more blocks than hashes.  A block holds about ``BUFFER * KEY`` hashes
+through their number: thousands for a gigabyte of text, some ten for a hundred,
+and towards one, as much as rows would cost, for terabytes.  Hashes count as equal if all bits that travel are,
 so a count may be too large by chance, never too small.
 """
 
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 U = np.uint64
-BUFFER, KEY = 1 << 20, 1 << 19
+BUFFER, KEY = 1 << 20, 1 << 18
 #: A text's number in a mark; texts of a chunk are numbered below it.
 MARK = 0xFFFF
 SCHEMA = "key long, chunk long, owner binary, low binary, ids binary, counts binary"

@@ -11,8 +11,10 @@ powers of two, so nothing is ever padded.  Windows are numbered, and ``step``
 groups them so that all steps of a tier hold the same number of tokens.
 
 Null text is empty: such a document has only the end token.  Rows with the same
-id are packed each on its own.  Memory holds at most ``POOL_TOKENS`` waiting
-ids besides one document.
+id are packed each on its own, equal texts included.  A very long text is
+encoded whole, in pieces.  Empty tables give empty results; other columns are
+ignored.  Memory holds at most ``POOL_TOKENS`` waiting ids, the remembered
+pieces and the documents of one Arrow batch.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import json
 import os
 import re
 import zlib
+from array import array
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 
@@ -34,63 +37,118 @@ from pyspark.sql import functions as F
 TIERS = (2048, 1024, 512, 256)
 STEP_TOKENS = 32 * 2048
 POOL_TOKENS = 1 << 20
-#: About these characters all libraries agree.
-_PLAIN = re.compile("[ \n!-~À-ɏ]*")
-#: Other texts may be cut before a space or line end that follows one of these: no token spans that place, and no token choice looks across it.
+#: Texts may be cut before a space or line end that follows one of these: no token spans that place, and no token choice looks across it.
 _SPLIT = re.compile("(?<=[!-~À-ɏ])(?=[ \n])")
-_LONGEST_KEPT, _MOST_KEPT = 48, 200_000
-#: The pattern of byte-level pre-tokenisation (public).
-_BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Also after a letter before punctuation, in texts without special tokens (they are looked for first, across such places).
+_FINE = re.compile("(?<=[!-~À-ɏ])(?=[ \n])|(?<=[A-Za-zÀ-ÖØ-öø-ɏ])(?=[!-/:-@\\[-`{-~])")
+#: Without these, all places before a space or line end are such places.
+_ODD = re.compile("[ \n][ \n]|[^!-~À-ɏ \n]")
+_LONGEST_KEPT, _MOST_KEPT = 48, 800_000
+#: Characters whose pieces are looked up together.
+_RUN = 1 << 20
 
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, tier int, step long"
 _TYPES = [pa.int64()] * 8 + [pa.int32(), pa.int64()]
 _NAMES = [x.split()[0] for x in _SCHEMA.split(", ")]
 
 
-def _byte_alphabet() -> dict[str, int]:
+def _byte_alphabet() -> dict[int, str]:
     """Byte-level BPE writes each byte as a printable character: itself, or the next free one from 256."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    out = {chr(b): b for b in shown}
-    return out | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
 
 
-class Encoder(dict):
-    """Text -> its ids as little-endian 32-bit bytes.
+class Encoder:
+    """Texts to their ids as little-endian 32-bit bytes.
 
-    Plain texts go through a faster merge engine over the tokenizer file's own
-    vocabulary, where token ids are merge ranks.  All others, and those that
-    may hold a special token, go through the tokenizer itself, each distinct
-    piece once as long as it is remembered.
+    All ids come from the tokenizer.  A text is cut into words and these into
+    pieces where that can't change a token, and each distinct one is encoded
+    once as long as it is remembered.  Plain words are one pre-token each, so
+    they go to the tokenizer's model itself.
     """
 
     def __init__(self, tokenizer_path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        model, alphabet = json.loads(self.tokenizer.to_str()), _byte_alphabet()
-        self.special = special = {t["content"] for t in model["added_tokens"]}
-        level = model["pre_tokenizer"] or {}
-        vocab = {t: i for t, i in model["model"]["vocab"].items() if t not in special}
-        usual = level.get("type") == "ByteLevel" and level.get("use_regex") and not level.get("add_prefix_space") and model["normalizer"] is None and all(set(t) <= alphabet.keys() for t in vocab)
-        ranks = {bytes(alphabet[c] for c in t): i for t, i in vocab.items()} if usual else {}
-        merged = sorted((i for t, i in vocab.items() if len(t) > 1)) if usual else []
-        order = [vocab[a + b] for a, b in (m if isinstance(m, list) else m.split(" ") for m in model["model"]["merges"])] if usual else [0]
-        self.merge = tiktoken.Encoding("plain", pat_str=_BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={}).encode_ordinary if usual and order == merged else None
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(piece) <= _LONGEST_KEPT:
-            if len(self) >= _MOST_KEPT:
-                self.clear()
-            self[piece] = ids
+        self.model, self.alphabet = self.tokenizer.model, _byte_alphabet()
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        made = json.loads(self.tokenizer.to_str())
+        level = made["pre_tokenizer"] or {}
+        #: Whether words may go to the model.
+        self.plain = level.get("type") == "ByteLevel" and level.get("use_regex") and not level.get("add_prefix_space") and made["normalizer"] is None
+        #: By a word, for it with the space before it (or its own line end), and by a piece.
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def cut(self, text: str) -> tuple[list[str], list[str]]:
+        """Pieces, and the words after them."""
+        if any(s in text for s in self.special):
+            return _SPLIT.split(text), []
+        if _ODD.search(text):
+            return _FINE.split(text), []
+        first, *words = text.replace("\n", " \n").split(" ")
+        return _FINE.split(first), words
+
+    def token(self, piece: str) -> bytes:
+        """Ids of one pre-token."""
+        if piece.isascii():  # its bytes show as themselves, but for the space
+            shown = piece.replace(" ", self.alphabet[32])
+        else:
+            shown = piece.encode().decode("latin-1").translate(self.alphabet)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            ids = array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+            if len(piece) <= _LONGEST_KEPT:
+                self.pieces[piece] = ids
         return ids
 
-    def ids(self, text: str) -> bytes:
-        if self.merge and _PLAIN.fullmatch(text) and not any(x in text for x in self.special):
-            return np.array(self.merge(text), dtype="<u4").tobytes()
-        return b"".join(map(self.__getitem__, _SPLIT.split(text)))
+    def word(self, word: str) -> bytes:
+        """Ids of a word and the space before it; a line end instead belongs to the word."""
+        ids = self.words.get(word)
+        if ids is None:
+            if self.plain and word.isalpha():
+                ids = self.token(" " + word)
+            elif self.plain and word[:1] == "\n" and word[1:].isalpha():
+                ids = self.piece("\n") + self.token(word[1:])
+            else:
+                parts = _FINE.split(word if word[:1] == "\n" else " " + word)
+                ids = b"".join([self.word(p[1:]) if len(parts) > 1 and p[:1] == " " else self.word(p) if len(parts) > 1 and p[:1] == "\n" else self.piece(p) for p in parts])
+            self.words[word] = ids
+        return ids
+
+    def ids(self, texts: list[str]) -> Iterator[bytes]:
+        """Of each text; copies are encoded once."""
+        once = dict.fromkeys(texts)
+        if len(once) < len(texts):
+            once = dict(zip(once, self._ids(list(once)), strict=True))
+            yield from map(once.__getitem__, texts)
+        else:
+            yield from self._ids(texts)
+
+    def _ids(self, texts: list[str]) -> Iterator[bytes]:
+        at = 0
+        while at < len(texts):
+            runs, size = [], 0
+            while at < len(texts) and size < _RUN:
+                size += len(texts[at])
+                runs.append(self.cut(texts[at]))
+                at += 1
+            fresh = set().union(*(words for _, words in runs)).difference(self.words)
+            for w in fresh:
+                self.word(w)
+            for pieces, words in runs:
+                yield b"".join([*map(self.piece, pieces), *map(self.words.__getitem__, words)])
+            for known in (self.words, self.pieces):
+                if len(known) > _MOST_KEPT:
+                    known.clear()
+            for x in fresh:
+                if len(x) > _LONGEST_KEPT:
+                    self.words.pop(x, None)
 
 
 @functools.cache
@@ -180,9 +238,9 @@ def _pack(tokenizer_path: str, end_id: int, tiers: tuple[int, ...], step_tokens:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES, strict=True)], names=_NAMES)
 
         for batch in batches:
-            texts = batch.column(1)
-            for i, doc in enumerate(batch.column(0).to_pylist()):
-                packer.add(doc, encode(texts[i].as_py() or "") + end)
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for doc, ids in zip(batch.column(0).to_pylist(), encode(texts), strict=True):
+                packer.add(doc, ids + end)
                 if len(packer.rows) >= 20_000:
                     yield out()
         packer.finish()
