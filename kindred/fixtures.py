@@ -18,7 +18,7 @@ RELATIONS = {
     "recording": "SELECT p_partkey AS id, concat('p-', p_partkey) AS gid, p_partkey % 150 AS artist_credit, concat(p_name, ' ', p_type) AS name FROM {part}",
     "release": "SELECT o_orderkey AS id, concat('o-', o_orderkey) AS gid, 1000000 + o_orderkey % 100 AS artist_credit FROM {orders}",
     "artist": "SELECT c_custkey AS id, concat('c-', c_custkey) AS gid, concat(c_mktsegment, ', ', c_name) AS sort_name FROM {customer}",
-    "artist_credit": "SELECT c_custkey AS id, c_name AS name, CASE WHEN c_mktsegment = 'MACHINERY' THEN 2 ELSE 1 END AS artist_count FROM {customer}",
+    "artist_credit": "SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN concat('Иванов ', c_name) ELSE c_name END AS name, CASE WHEN c_mktsegment = 'MACHINERY' THEN 2 ELSE 1 END AS artist_count FROM {customer}",
     "artist_credit_name": """SELECT c_custkey AS artist_credit, c_custkey AS artist, c_name AS name, 0 AS position, '' AS join_phrase FROM {customer}
         UNION ALL SELECT c_custkey, c_custkey + 1, c_mktsegment, 1, ' and ' FROM {customer} WHERE c_mktsegment = 'MACHINERY'""",
     "artist_alias": "SELECT c_custkey AS id, concat(c_mktsegment, ' ', c_custkey) AS name FROM {customer} WHERE c_mktsegment <> 'MACHINERY' AND c_custkey > 1",

