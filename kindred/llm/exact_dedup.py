@@ -8,7 +8,7 @@ copies that holds a third of all rows is cut over many partitions.  Runs that
 touch a partition's first or last key are stitched by their text afterwards
 (at most a few rows for each partition).
 
-Null text counts as empty.  Null ids lose against all others.  Rows that
+Null text counts as empty; very long texts are compared whole.  Null ids lose against all others.  Rows that
 repeat id and text: one of them stays.  An empty table gives an empty result.
 Other columns of the input are ignored.
 """

@@ -13,7 +13,10 @@ are built by one aggregation to table entries, so what reaches the driver has
 the table's size, whatever the corpus is.
 
 Null text, and text without any letter, is ``und`` with score 0.  With no
-labelled documents all texts are ``und``.  A null id is neither learned from
+labelled documents all texts are ``und``.  Of languages with equal shares the
+first in alphabetical order is taken.  Very long texts are judged whole.  More
+than ``MAX_LANGUAGES`` distinct labels are an error (a filter of 64 languages
+takes 2 MB, and each is counted in turn), not cut off.  A null id is neither learned from
 nor held out.  Repeated rows are judged alike.  Empty tables give empty
 results; other columns are ignored.
 """

@@ -22,7 +22,8 @@ sets of distinct five-word shingles (64-bit hashes).  No link is lost:
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased.  Fewer than five words
 are one shingle; texts without words (null, empty, blank) have an empty set,
 link with nothing and are their own component.  Rows with the same id count as
-linked; a null id links with nothing and has a null component.  Empty tables
+linked, also where their texts differ; ties between equally rare shingles go by
+hash; very long texts count whole; a null id links with nothing and has a null component.  Empty tables
 give empty results; other columns are ignored.
 """
 

@@ -1,36 +1,5 @@
-"""Tables written between jobs, in the folder that all executors share."""
+"""Tables written between jobs, in the folder that all executors share: later jobs neither recompute them nor depend on any executor's local files."""
 
-from __future__ import annotations
+from kindred.sources.scratch import stored as keep
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only if that is unset (local runs and tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    return _own.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="kindred-"))
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the JVM may be gone at exit
-        pass
-
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet and read again: later jobs neither recompute it nor depend on any executor's local files."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/kindred/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["keep"]

@@ -17,7 +17,7 @@ packed string at a time.  In a block
   else byte by byte, are repeats.
 
 Texts are compared as UTF-8 bytes and matches never cross texts.  Null text is
-empty; texts shorter than ``width`` stay whole.  Rows that repeat an id are
+empty; very long texts are read whole; texts shorter than ``width`` stay whole.  Rows that repeat an id are
 texts like all others, so they remove each other's bytes.  Empty tables give
 empty results; other columns are ignored.
 """

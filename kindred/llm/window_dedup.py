@@ -7,7 +7,8 @@ minimiser travel as one packed string (see ``superkmers``); in a bucket all
 windows are sorted by a 128-bit hash, and neighbours are then compared word for
 word, so the counts are exact.
 
-Words are ``[^\\x20\\x09-\\x0D]+``, unchanged.  Null text has no words.  Rows
+Very long texts are cut into pieces of a megabyte only between texts, so no
+window is lost.  Words are ``[^\\x20\\x09-\\x0D]+``, unchanged.  Null text has no words.  Rows
 that repeat an id never remove each other's words.  A null id counts as the
 smallest.  Empty tables give empty results; other columns are ignored.
 """
