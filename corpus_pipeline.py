@@ -1,7 +1,13 @@
 """A training-corpus pipeline: language ID, line dedup, n-gram Jaccard join, benchmark decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
-last return the columns of documents.
+last return the columns of documents, further ones included.
+
+Every stage works on whole texts of any length and gives an empty table for an
+empty one.  Rows with a null id are rows like all others; rows that share an id
+are judged each by its own text.  Columns of any name may be there besides
+``doc_id``, ``text`` and ``n_chars``; names that begin with two underscores are
+the stages' own.
 """
 
 from __future__ import annotations
@@ -28,12 +34,12 @@ def _only(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no letters, or almost no known n-gram) go."""
+    """Documents without a language (null, empty, no letters, or almost no known n-gram) go; repeated rows alike."""
     return language_id.keep_identified(docs, language_id.learn(docs))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated three-line windows go; so do documents of which nothing is left."""
+    """Later occurrences of three-line windows go (a null id comes first, rows that repeat id and text are one place); so do documents of which nothing is left.  A null text stays null."""
     out = line_dedup.line_dedup(docs)
     emptied = (F.col("n_removed") > 0) & (F.trim(F.regexp_replace("text", "\\s+", " ")) == "")
     out = out.filter(~emptied)
@@ -41,7 +47,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one with the smallest id stays (null is last), and one of repeated rows."""
+    """Of each group of similar documents the one with the smallest id stays (null is last; texts that share an id: the smallest hash of id and text), and one of repeated rows.  Documents without words stay."""
     rows = _keyed(docs)
     groups = ngram_join.ngram_jaccard_join(rows, id_col="__key").select(F.col("doc_id").alias("__key"), "component_id").distinct()
     found = keep(rows.groupBy("__key", "doc_id").agg(F.count(F.lit(1)).alias("n")).join(groups, "__key"), "pipeline-groups")
@@ -55,14 +61,14 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a test item, or an edited copy of one, go."""
+    """Documents that hold a test item, or an edited copy of one, go; null and empty texts, of either table, match nothing."""
     rows = _keyed(docs)
     hits = decontaminate.contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="__key")
     return _only(rows, keep(hits.select(F.col("doc_id").alias("__key")).distinct(), "pipeline-leaks"), "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training sequences of at most 2048 tokens."""
+    """Training sequences of at most 2048 tokens; a null or empty text is its end token alone, repeated rows are packed each."""
     return packing.pack_documents(docs, packing.public_tokenizer())
 
 
