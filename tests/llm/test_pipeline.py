@@ -58,6 +58,25 @@ def test_pipeline_against_plain_code(spark, tmp_path):
     check_packing(corpus_pipeline.run(spark, str(tmp_path)).collect(), list(after.items()))
 
 
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], SHAPE).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_pipeline_of_awkward_rows(spark, tmp_path):
+    """Nulls in every column, repeated ids and rows, a very long text, further columns with clashing names: each stage keeps the columns."""
+    rows = [(i, t, ("aa", "bb", None)[k % 3], None if k % 4 == 0 else "s", None if k % 5 == 0 else 1, "h", "r", 0.5) for k, (i, t) in enumerate(corpus(seed=3, n=20))]
+    rows.append((300, " ".join(f"w{k % 977}x{k % 31}" for k in range(60_000)), "aa", "s", 1, "h", "r", 0.5))
+    spark.createDataFrame(rows, SHAPE + ", h string, rep string, score double").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, None), (1, ""), (1, rows[3][1]), (None, "some words of an item without an id")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == [*[c.split()[0] for c in SHAPE.split(", ")], "h", "rep", "score"]
+    assert 300 in {r.doc_id for r in docs.collect()}
+
+
 def test_stages_decide_by_id_and_text(spark, tmp_path):
     """Null ids, ids with two texts and repeated rows."""
     words = lambda name, n=40: " ".join(f"{name}{k}" for k in range(n))
