@@ -76,7 +76,7 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _hits(table: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in spans.slim(batches, 2):
             for row, word, first in word_runs([t or "" for t in b.column(2).to_pylist()]):
                 hashes, text, at = spans.shingles(word, first, SEED)
                 bit = hashes >> U(64 - TABLE_BITS)
@@ -124,7 +124,7 @@ def align(items: list[np.ndarray], places: list[np.ndarray]) -> tuple[np.ndarray
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows: id, text, candidates (item_id, words, place); one row out per document and item."""
-    for b in batches:
+    for b in spans.slim(batches, 1):
         out: dict[tuple[int, object], tuple] = {}
         waiting: list[tuple] = []
         widest = 0

@@ -87,7 +87,7 @@ def _entries(gram: np.ndarray, bits: int, hashes: int) -> list[np.ndarray]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(language, gram, documents that have it), summed for a run of rows."""
-    for b in batches:
+    for b in spans.slim(batches, 1):
         langs = b.column(0).to_numpy()
         for first, gram, row in _grams([t or "" for t in b.column(1).to_pylist()]):
             pairs = np.unique(row.astype(U) << U(32) | gram.astype(U))
@@ -144,7 +144,7 @@ def _predict(model: Model):
     bits = int(model.tables.shape[1]).bit_length() - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in spans.slim(batches, 1):
             texts = b.column(1).to_pylist()
             pred, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
             for first, gram, row in _grams([t or "" for t in texts]) if model.languages else ():
@@ -182,7 +182,7 @@ def _judge(model: Model, names: list[str], text: str, min_score: float):
     inner = _predict(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in spans.slim(batches, names.index(text)):
             said = next(inner(iter([pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.int64()), b.column(names.index(text))], names=["doc_id", "text"])])))
             good = np.array([x != UNKNOWN for x in said.column(1).to_pylist()], dtype=bool) & (said.column(2).to_numpy() >= min_score)
             yield b.filter(pa.array(good))

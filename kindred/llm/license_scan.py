@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import spans
 from .decontaminate import word_runs
 
 U = np.uint64
@@ -99,7 +100,7 @@ def _scan(templates: dict[str, str], min_coverage: float):
         for t, part in enumerate(parts):
             marks[t, np.searchsorted(known, part)] = True
         lists = [p.tolist() for p in parts]
-        for b in batches:
+        for b in spans.slim(batches, 1):
             out: list[list] = [[], [], [], [], []]
             for row, word, first in word_runs([t or "" for t in b.column(1).to_pylist()]):
                 at = np.minimum(np.searchsorted(known, word), len(known) - 1)

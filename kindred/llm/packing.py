@@ -14,7 +14,7 @@ Null text is empty: such a document has only the end token.  Rows with the same
 id are packed each on its own, equal texts included.  A very long text is
 encoded whole, in pieces.  Empty tables give empty results; other columns are
 ignored.  Memory holds at most ``POOL_TOKENS`` waiting ids, the remembered
-pieces and the documents of one Arrow batch.
+pieces and about a megabyte of texts, one text at least.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import spans
+
 TIERS = (2048, 1024, 512, 256)
 STEP_TOKENS = 32 * 2048
 POOL_TOKENS = 1 << 20
@@ -43,7 +45,7 @@ _SPLIT = re.compile("(?<=[!-~À-ɏ])(?=[ \n])")
 _FINE = re.compile("(?<=[!-~À-ɏ])(?=[ \n])|(?<=[A-Za-zÀ-ÖØ-öø-ɏ])(?=[!-/:-@\\[-`{-~])")
 #: Without these, all places before a space or line end are such places.
 _ODD = re.compile("[ \n][ \n]|[^!-~À-ɏ \n]")
-_LONGEST_KEPT, _MOST_KEPT = 48, 800_000
+_LONGEST_KEPT, _MOST_KEPT = 48, 500_000
 #: Characters whose pieces are looked up together.
 _RUN = 1 << 20
 
@@ -122,15 +124,6 @@ class Encoder:
         return ids
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
-        """Of each text; copies are encoded once."""
-        once = dict.fromkeys(texts)
-        if len(once) < len(texts):
-            once = dict(zip(once, self._ids(list(once)), strict=True))
-            yield from map(once.__getitem__, texts)
-        else:
-            yield from self._ids(texts)
-
-    def _ids(self, texts: list[str]) -> Iterator[bytes]:
         at = 0
         while at < len(texts):
             runs, size = [], 0
@@ -237,7 +230,7 @@ def _pack(tokenizer_path: str, end_id: int, tiers: tuple[int, ...], step_tokens:
             packer.rows = []
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES, strict=True)], names=_NAMES)
 
-        for batch in batches:
+        for batch in spans.slim(batches, 1):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for doc, ids in zip(batch.column(0).to_pylist(), encode(texts), strict=True):
                 packer.add(doc, ids + end)

@@ -83,6 +83,17 @@ def pieces(texts: pa.Array | pa.ChunkedArray, size: int = CHUNK_BYTES) -> Iterat
         at = end
 
 
+def slim(batches: Iterator[pa.RecordBatch], column: int, size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``size`` bytes of this column, one row at least: what is made of a batch stays small."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
+            yield b.slice(at, end - at)
+            at = end
+
+
 def lower_ascii(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
 

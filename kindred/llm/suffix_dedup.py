@@ -160,7 +160,7 @@ def _find(width: int):
 
 
 def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in spans.slim(batches, 1):
         out: list[list] = [[], [], [], []]
         for r in range(b.num_rows):
             raw = (b.column(1)[r].as_py() or "").encode("utf-8", "surrogatepass")

@@ -85,7 +85,7 @@ def _alike(unit: Unit, raw: bytes, lo: np.ndarray, hi: np.ndarray, with_lo: np.n
 
 def _cut(unit: Unit) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in spans.slim(batches, 2):
             ids, marks = b.column(0).to_numpy(), b.column(1).to_numpy()
             for row, data, offsets in spans.pieces(b.column(2), 1 << 20):
                 values, first, lo, hi = _units(unit, data, offsets)
@@ -140,7 +140,7 @@ _PACKED_NAMES = [x.split()[0] for x in _PACKED.split(", ")]
 
 def _pack(unit: Unit) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in spans.slim(batches, 2):
             out: list[list] = [[] for _ in _PACKED_NAMES]
             size = 0
             for r in range(b.num_rows):

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 import __spark_entry__
@@ -67,7 +69,9 @@ def test_pipeline_of_empty_tables(spark, tmp_path):
 def test_pipeline_of_awkward_rows(spark, tmp_path):
     """Nulls in every column, repeated ids and rows, a very long text, further columns with clashing names: each stage keeps the columns."""
     rows = [(i, t, ("aa", "bb", None)[k % 3], None if k % 4 == 0 else "s", None if k % 5 == 0 else 1, "h", "r", 0.5) for k, (i, t) in enumerate(corpus(seed=3, n=20))]
-    rows.append((300, " ".join(f"w{k % 977}x{k % 31}" for k in range(60_000)), "aa", "s", 1, "h", "r", 0.5))
+    r = random.Random(1)
+    words = " ".join(t or "" for _, t in corpus(seed=3, n=20) if t != "ab" * 700).split()
+    rows.append((300, " ".join(r.choice(words) for _ in range(60_000)), "aa", "s", 1, "h", "r", 0.5))
     spark.createDataFrame(rows, SHAPE + ", h string, rep string, score double").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(None, None), (1, ""), (1, rows[3][1]), (None, "some words of an item without an id")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
