@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from . import spans
+
 U = np.uint64
 BUFFER, KEY = 1 << 20, 1 << 18
 #: A text's number in a mark; texts of a chunk are numbered below it.
@@ -122,7 +124,7 @@ def _found(blocks: list[tuple[int, bytes, bytes]]) -> Iterator[tuple]:
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks sorted by key; a chunk's ids pass through."""
     now, waiting = None, []
-    for b in batches:
+    for b in spans.slim(batches, 3):
         rows: list[tuple] = []
         for key, chunk, owner, low, ids, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if ids is not None:

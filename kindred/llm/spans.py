@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 #: Texts are hashed in pieces of about so many bytes, to bound memory.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
