@@ -18,6 +18,11 @@ _LATIN = {"ß": "ss", "Æ": "AE", "æ": "ae", "Œ": "OE", "œ": "oe", "Ø": "O",
 _GREEK = dict(zip("αβγδεζηθικλμνξοπρσςτυφχψω", "a b g d e z e th i k l m n x o p r s s t u ph kh ps o".split(), strict=True))
 _CYRILLIC = dict(zip("абвгдежзийклмнопрстуфхцчшщъыьэюяіїєґў", "a b v g d e zh z i i k l m n o p r s t u f kh ts ch sh shch ' y ' e iu ia i yi ie g u".split(), strict=True))
 _HEBREW = dict(zip("אבגדהוזחטיךכלםמןנסעףפץצקרשת", "a b g d h v z kh t y k k l m m n n s a p p ts ts q r sh t".split(), strict=True))
+_ARMENIAN = dict(zip("աբգդեզէըթժիլխծկհձղճմյնշոչպջռսվտրցւփքօֆև", "a b g d e z e e t` zh i l kh ts k h dz gh ch m y n sh o ch` p j rh s v t r ts` w p` k` o f ew".split(), strict=True))
+_GEORGIAN = dict(zip("აბგდევზთიკლმნოპჟრსტუფქღყშჩცძწჭხჯჰ", "a b g d e v z t` i k l m n o p' zh r s t' u p` k` g' q' sh ch` c` z' c' ch x j h".split(), strict=True))
+_ARABIC = dict(zip("بتثجحخدذرزسشصضطظعغفقكلمنهوي", "b t th j H kh d dh r z s sh S D T Z ` G f q k l m n h w y".split(), strict=True))
+_DEVANAGARI = dict(zip("अआइईउऊएऐओऔकखगघङचछजझञटठडढणतथदधनपफबभमयरलवशषसह", "a aa i ii u uu e ai o au k kh g gh ng c ch j jh ny tt tth dd ddh nn t th d dh n p ph b bh m y r l v sh ss s h".split(), strict=True))
+_THAI = dict(zip("กขฃคฅฆงจฉชซฌญฎฏฐฑฒณดตถทธนบปผฝพฟภมยรฤลฦวศษสหฬอฮะาำเแโใไ", "k kh kh kh kh kh ng cch ch ch ch ch y d t th th th n d t th th th n b p ph f ph f ph m y r R l L w s s s h l ` h a aa am e ae o ai ai".split(), strict=True))
 # Hangul syllables are composed of these, by the code point's arithmetic (fixed values).
 _LEAD = "g gg n d dd r m b bb s ss - j jj c k t p h".replace("-", "").split(" ")
 _VOWEL = "a ae ya yae eo e yeo ye o wa wae oe yo u weo we wi yu eu yi i".split(" ")
@@ -26,11 +31,12 @@ _TAIL = " g gg gs n nj nh d l lg lm lb ls lt lp lh m b bs s ss ng j c k t p h".s
 
 @cache
 def romanisation() -> dict[str, str]:
-    """One character to ASCII, for Latin, Greek, Cyrillic, Hebrew, kana and full-width forms: from decomposition and character names."""
+    """One character to ASCII, for Latin, Greek, Cyrillic, Hebrew, Armenian, Georgian, Arabic, Devanagari, Thai, kana, full-width forms and decimal digits: from lists, decomposition and character names."""
     out: dict[str, str] = {}
-    for low in (_GREEK, _CYRILLIC, _HEBREW):
+    for low in (_GREEK, _CYRILLIC, _HEBREW, _ARMENIAN):
         out |= low | {k.upper(): v.capitalize() for k, v in low.items() if k.upper() != k and len(k.upper()) == 1}
-    out |= _LATIN
+    out |= _LATIN | _GEORGIAN | _ARABIC | _DEVANAGARI | _THAI
+    out |= {chr(zero + k): str(k) for zero in (0x660, 0x6F0, 0x966, 0xE50) for k in range(10)}
     for code in [*range(0x80, 0x590), *range(0x1E00, 0x2000), *range(0x3041, 0x3100), *range(0xFF01, 0xFF5F)]:
         c = chr(code)
         if c in out:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,3 +47,14 @@ def credit_name(mapping: DataFrame) -> DataFrame:
 def credits_per_artist(artist_credit_name: DataFrame) -> DataFrame:
     """Creators with several credits."""
     return artist_credit_name.groupBy("artist").agg(F.array_sort(F.collect_set("artist_credit")).alias("credits")).filter(F.size("credits") > 1)
+
+
+def link_counts(links: DataFrame) -> DataFrame:
+    """How many links each block has."""
+    return links.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+
+
+def row_counts(relations: dict[str, DataFrame]) -> DataFrame:
+    """(name, n) of several relations, empty ones included; one small row each."""
+    counts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name, df in relations.items()]
+    return reduce(DataFrame.unionByName, counts)

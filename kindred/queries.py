@@ -429,3 +429,99 @@ def csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     path = scratch.path(spark, "csv")
     tables.write_csv(rows, path)
     return tables.read_csv(spark, path, rows.schema)
+
+
+@query(f"WITH {_BLOCKS} SELECT block, count(*) AS n FROM links GROUP BY block")
+def link_counts(spark: SparkSession, d: str) -> DataFrame:
+    return dumps.link_counts(_linked(spark, d)[1])
+
+
+_COUNTED = ("support", "recording", "release", "artist", "artist_credit", "artist_credit_name", "track", "requests")
+
+
+@query(f"WITH {_RELATIONS} " + " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n FROM {n}" for n in _COUNTED))
+def row_counts(spark: SparkSession, d: str) -> DataFrame:
+    return dumps.row_counts({n: _rel(spark, d, n) for n in _COUNTED})
+
+
+@query(f"WITH {_docs('part_docs')} SELECT pos, entity_id, text FROM docs")
+def index_listing(spark: SparkSession, d: str) -> DataFrame:
+    return dumps.index_texts(_encoded(_rel(spark, d, "part_docs")), 0)
+
+
+#: Names in other scripts and their keys (fixed values).
+_KEYS = [("Tbilisi თბილისი", "tbilisit`bilisi"), ("Երևան", "erewan"), ("سلام ٣", "slm3"), ("नमक १", "nmk1"), ("ไทย", "aithy"), ("Ελλάδα", "ellada"), ("שלום", "shlvm"), ("Щука", "shchuka"), ("カナ", "kana"), ("한글", "hangeul"), ("東京", "")]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in _KEYS) + ") t(name, encoded)")
+def encode_scripts(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(a,) for a, _ in _KEYS], "name string").withColumn("encoded", text.encode_name(F.col("name")))
+
+
+_NOISY = "concat('The ', p_name, ' (', p_type, ') feat. ', p_brand)"
+_PLAIN_NAME = f"trim(regexp_replace(regexp_replace(regexp_replace({_NOISY}, '\\s*[(\\[{{][^)\\]}}]*[)\\]}}]', '', 'g'), '(?i)\\s+(feat|featuring|ft|vs|with)\\b\\.?.*$', ''), '(?i)^the\\s+', ''))"
+
+
+@query(f"""SELECT p_partkey, {_PLAIN_NAME} AS clean, concat(p_brand, '|', p_type, '|') AS split, printf('%.2f', p_retailprice) AS price, substr(p_name, 1, 7) AS clipped,
+  TRY_CAST(concat(p_size, CASE WHEN p_size % 3 = 0 THEN 'x' ELSE '' END) AS INT)::BIGINT AS number FROM part""")
+def text_helpers(spark: SparkSession, d: str) -> DataFrame:
+    part = spark.read.parquet(f"{d}/part.parquet")
+    listed = text.split_list(F.concat("p_brand", F.lit(" , "), "p_type", F.lit(",")), trim=True)
+    size = F.concat(F.col("p_size").cast("string"), F.when(F.col("p_size") % 3 == 0, "x").otherwise(""))
+    return part.select(
+        "p_partkey", text.clean_name(F.expr(_NOISY)).alias("clean"), F.array_join(listed, "|").alias("split"), text.two_decimals(F.col("p_retailprice")).alias("price"),
+        text.clip(F.col("p_name"), 7).alias("clipped"), text.to_int(size).cast("long").alias("number"),
+    )
+
+
+@query("SELECT p_partkey, p_brand AS first, concat(p_brand, '|', p_name, ', ', p_type, '|\"') AS elements, concat(p_brand, ',\"', p_name, ', ', p_type, '\",\"\"\"\"') AS bare, 0::BIGINT AS of_none FROM part")
+def array_literals(spark: SparkSession, d: str) -> DataFrame:
+    part = spark.read.parquet(f"{d}/part.parquet")
+    rows = part.select("p_partkey", "p_name", F.expr("""concat('{', p_brand, ',"', p_name, ', ', p_type, '",""\""}')""").alias("x"))
+    elements = text.parse_array_literal(F.col("x"))
+    return rows.select("p_partkey", text.first_element(elements).alias("first"), F.array_join(elements, "|").alias("elements"), text.strip_braces(F.col("x")).alias("bare"), F.size(text.parse_array_literal(F.col("p_name"))).cast("long").alias("of_none"))
+
+
+_ALIASES = "[p_name, upper(p_name), '!', p_type, p_brand]"
+
+
+@query(f"""SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(list_transform({_ALIASES}, lambda a: {_enc('a')}), lambda a: a <> '' AND a <> {_enc('p_name')}))), '|') AS aliases,
+  array_to_string(list_sort(list_distinct(list_transform({_ALIASES}, lambda a: CASE WHEN {_enc('a')} <> '' THEN {_enc('a')} ELSE a END))), '|') AS names FROM part""")
+def alias_keys(spark: SparkSession, d: str) -> DataFrame:
+    given = F.array("p_name", F.upper("p_name"), F.lit("!"), "p_type", "p_brand")
+    part = spark.read.parquet(f"{d}/part.parquet")
+    return part.select("p_partkey", F.array_join(text.reduce_aliases(given, F.col("p_name")), "|").alias("aliases"), F.array_join(text.encode_or_keep(given), "|").alias("names"))
+
+
+_GAPS = "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_name END AS name, CASE WHEN p_size % 3 = 0 THEN p_retailprice END AS price FROM {part}"
+
+
+@query(f"SELECT p_partkey, coalesce(name, '') AS name, coalesce(price, 0) AS price FROM ({_GAPS.format(part='part')})")
+def null_defaults(spark: SparkSession, d: str) -> DataFrame:
+    return tables.defaults(spark.sql(_GAPS.format(part=f"parquet.`{d}/part.parquet`")))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN upper(p_name) ELSE p_name END AS name FROM part")
+def upsert_rows(spark: SparkSession, d: str) -> DataFrame:
+    old = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.col("p_name").alias("name"))
+    return tables.upsert(old, old.filter("p_partkey % 10 = 0").withColumn("name", F.upper("name")), "p_partkey")
+
+
+@query("SELECT p_partkey AS req_id, CASE WHEN p_size % 5 = 0 THEN 400 WHEN p_size % 3 = 0 THEN 404 ELSE 200 END AS status, CASE WHEN p_size % 5 > 0 AND p_size % 3 > 0 THEN p_name END AS name FROM part")
+def response_status(spark: SparkSession, d: str) -> DataFrame:
+    part = spark.read.parquet(f"{d}/part.parquet")
+    columns = ("artist_credit_name", "artist_mbids", "release_name", "release_mbid", "recording_mbid", "confidence", "artist_credit_id", "release_id")
+    found = part.select(
+        F.col("p_partkey").alias("req_id"), F.when(F.col("p_size") % 5 > 0, "x").alias("asked_artist"), F.lit("y").alias("asked_recording"),
+        F.when(F.col("p_size") % 3 > 0, F.col("p_partkey")).alias("recording_id"), F.col("p_name").alias("recording_name"), *(F.lit("z").alias(c) for c in columns),
+    )
+    return tables.to_response(found).select("req_id", "status", F.get_json_object("body", "$.recording_name").alias("name"))
+
+
+@query(f"WITH {_MAPPING}, one AS (SELECT release_id, recording_id FROM mapping WHERE release_id < {NONE_ID} ORDER BY ALL LIMIT 1) SELECT artist_credit_id, release_id, recording_id, score FROM mapping JOIN one USING (release_id, recording_id)")
+def mapping_of_pair(spark: SparkSession, d: str) -> DataFrame:
+    where = scratch.path(spark, "facts")
+    tables.write_mapping(_mapping(spark, d), where)
+    facts = spark.read.parquet(where)
+    first = facts.agg(F.min(F.struct("release_id", "recording_id")).alias("x")).first()["x"]
+    return tables.of_pair(facts, *first).select("artist_credit_id", "release_id", "recording_id", "score")

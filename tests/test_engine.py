@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from kindred import commands
 from kindred import queries as engine
 from kindred.config import MULTIPLE, NONE_ID, SINGLE, SYMBOLS, read_env_file
 from kindred.operators import fuzzy, tfidf
@@ -219,3 +220,18 @@ def test_incremental_blocks_hold_aliases(spark, small, tmp_path):
     assert found() == {1: (101, 1001), 2: (103, 1004)}
     serve.extend_blocks(small.mapping, path, aliases.filter("recording_id = 1001"), rebuild=True)
     assert found() == {1: (101, 1001)}
+
+
+def test_commands(spark, tmp_path):
+    """Mapping, indexes and answers from a folder of tables."""
+    source, facts, index, out = (f"{tmp_path}/{x}" for x in ("source", "mapping", "index", "answers"))
+    for name in ("recording", "release", "artist", "artist_credit", "artist_credit_name", "artist_alias", "recording_alias", "track"):
+        engine._rel(spark, SF, name).write.parquet(f"{source}/{name}")
+    engine._support(spark, SF).write.parquet(f"{source}/support")
+    engine._rel(spark, SF, "requests").limit(3).write.parquet(f"{tmp_path}/requests")
+    commands.main(["mapping", "--source", source, "--out", facts], spark)
+    commands.main(["indexes", "--source", source, "--mapping", facts, "--out", index], spark)
+    commands.main(["lookup", "--requests", f"{tmp_path}/requests", "--mapping", facts, "--index", index, "--out", out], spark)
+    assert spark.read.json(out).count() == 3 and spark.read.parquet(facts).count() == engine._mapping(spark, SF).count()
+    with pytest.raises(Exception, match="(?i)exists"):
+        commands.main(["mapping", "--source", source, "--out", facts], spark)
