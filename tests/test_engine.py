@@ -5,12 +5,14 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from kindred import commands
 from kindred import queries as engine
 from kindred.config import MULTIPLE, NONE_ID, SINGLE, SYMBOLS, read_env_file
-from kindred.operators import fuzzy, tfidf
+from kindred.functions import distance
+from kindred.operators import fuzzy, pairs, tfidf
 from kindred.plans import dumps, indexes, lookup, mapping
 from kindred.sources import tables
 from kindred.streaming import serve
@@ -235,3 +237,37 @@ def test_commands(spark, tmp_path):
     assert spark.read.json(out).count() == 3 and spark.read.parquet(facts).count() == engine._mapping(spark, SF).count()
     with pytest.raises(Exception, match="(?i)exists"):
         commands.main(["mapping", "--source", source, "--out", facts], spark)
+
+
+def test_pairs_are_measured_once_for_each_pair_of_texts(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def slow(a, b):
+        calls.add(1)
+        return None if a is None or b is None else distance.script(a, b)
+
+    r = random.Random(6)
+    rows = [(k, r.choice([1, 2, None]), r.choice(["ab", "ba", "b", "", None])) for k in range(150)]
+    table = spark.createDataFrame(rows, "id long, part int, name string")
+    got = pairs.measured_pairs(table, ["part"], "id", "name", lambda a, b: {"n": F.size(F.udf(slow, distance.OPS)(a, b)), "d": distance.edit_distance(a, b), "i": distance.edit_distance(a, b, replace_cost_two=True)})
+    got = {(x.a_key, x.b_key): (x.n, x.d) for x in got.collect()}
+    want = {}
+    for i, p, a in rows:
+        for j, q, b in rows:
+            if i < j and p is not None and p == q:
+                want[i, j] = (None, None) if a is None or b is None else (len(distance.script(a, b)),) * 2
+    assert got == want
+    assert calls.value <= 2 * 5 * 5
+
+
+def test_scripts_of_repeated_pairs_are_computed_once(spark):
+    counted = spark.sparkContext.accumulator(0)
+
+    def of(a, b):
+        counted.add(1)
+        return distance.script(a, b)
+
+    rows = spark.createDataFrame([("kitten", "sitting"), ("abc", None)] * 200, "a string, b string").coalesce(1)
+    got = rows.select(F.size(distance._each(of, distance.OPS)("a", "b")).alias("n"))
+    assert Counter(x.n for x in got.collect()) == {3: 200, None: 200}
+    assert counted.value == 1
