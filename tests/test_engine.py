@@ -271,3 +271,22 @@ def test_scripts_of_repeated_pairs_are_computed_once(spark):
     got = rows.select(F.size(distance._each(of, distance.OPS)("a", "b")).alias("n"))
     assert Counter(x.n for x in got.collect()) == {3: 200, None: 200}
     assert counted.value == 1
+
+
+def test_equal_prefixes_are_compared_once(spark):
+    r = random.Random(8)
+    docs = [(k, r.choice(["samename", "samenama", "emanemas", "same", "aabbaabb", "bbaabbaa", "x" * 30 + r.choice("yz")])) for k in range(4000)]
+    docs += [(4000 + k, "samename") for k in range(1200)]
+    asked = ["samename", "samenam", "same", "aabb", "aabbaabb", "nothing"]
+    index = fuzzy.build_index(spark.createDataFrame([(0, p, i, t) for p, (i, t) in enumerate(docs)], "index_id long, pos long, entity_id long, text string"))
+    assert index.weights.select("index_id", "pos").distinct().count() == 7
+    grams = {x.gram: x.df for x in index.vocabulary.collect()}
+    assert grams["xxx"] == sum(t[0] == "x" for _, t in docs)
+    got = fuzzy.search(spark.createDataFrame([(q, 0, t) for q, t in enumerate(asked)], "q long, index_id long, text string"), index).collect()
+    for q, t in enumerate(asked):
+        assert [(x.pos, x.confidence) for x in sorted(got, key=lambda x: x.rank) if x.q == q] == plain_search(docs, t)
+    assert sum(x.q == 0 for x in got) == 1000
+    # an index with weights at every position finds the same
+    every = fuzzy.Index(index.docs, *tfidf.build(index.docs))
+    again = fuzzy.search(spark.createDataFrame([(0, 0, "samename")], "q long, index_id long, text string"), every).collect()
+    assert {(x.pos, x.confidence) for x in again} == {(x.pos, x.confidence) for x in got if x.q == 0}
