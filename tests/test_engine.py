@@ -290,3 +290,23 @@ def test_equal_prefixes_are_compared_once(spark):
     every = fuzzy.Index(index.docs, *tfidf.build(index.docs))
     again = fuzzy.search(spark.createDataFrame([(0, 0, "samename")], "q long, index_id long, text string"), every).collect()
     assert {(x.pos, x.confidence) for x in again} == {(x.pos, x.confidence) for x in got if x.q == 0}
+
+
+def test_blocks_are_built_for_the_creators_reached(spark):
+    asked = engine._rel(spark, SF, "requests").limit(12)
+    asked = asked.unionByName(asked.withColumn("req_id", -F.col("req_id") - 1)).cache()
+    sources, built = engine._sources(spark, SF), engine._engine(spark, SF)
+    creators = lookup.creator_hits(asked, sources.creators).cache()
+    reached = sources.reached(creators)
+    blocks = {x.index_id // 2 for x in reached.blocks.docs.select("index_id").distinct().collect()}
+    assert blocks and blocks <= {x.creator for x in creators.collect()}
+    # a collection's own block has the rows of other credits too
+    own = sources.reached(spark.createDataFrame([(1000005,)], "creator long"))
+    want = built.blocks.docs.filter("index_id in (2000010, 2000011)")
+    assert want.count() and sorted(map(tuple, own.blocks.docs.collect())) == sorted(map(tuple, want.collect()))
+    key = lambda x: x["req_id"]
+    got = sorted(lookup.lookup(asked, sources).collect(), key=key)
+    assert got == sorted(lookup.lookup(asked, built).collect(), key=key) and len(got) == 24
+    assert any(x.recording_id is not None for x in got)
+    answers = {x.req_id: tuple(x)[1:] for x in got}
+    assert all(answers[-r - 1] == a for r, a in answers.items() if r >= 0)
