@@ -39,6 +39,8 @@ GRAM = 4
 FOLDS = 5
 MAX_LANGUAGES = 1024
 UNKNOWN = "und"
+#: Bytes of text that are looked through at once (one text at least); arrays take some forty times as much.
+RUN_BYTES = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -65,7 +67,7 @@ def _grams(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     while at < len(texts):
         parts, size = [], 0
         first = at
-        while at < len(texts) and (size < 1 << 20 or not parts):
+        while at < len(texts) and (size < RUN_BYTES or not parts):
             raw = f" {texts[at].lower()}  ".encode("utf-8", "replace")
             parts.append(raw)
             size += len(raw)
@@ -73,7 +75,7 @@ def _grams(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         data = np.frombuffer(b"".join(parts), np.uint8)
         data = np.where((data >= 128) | ((data >= 97) & (data <= 122)), data, np.uint8(32))
         offsets = np.append(0, np.cumsum([len(p) for p in parts]))
-        row = np.repeat(np.arange(len(parts)), np.diff(offsets))
+        row = np.repeat(np.arange(len(parts), dtype=np.int32), np.diff(offsets))
         wide = data.astype(np.uint32)
         gram = wide[:-3] << 24 | wide[1:-2] << 16 | wide[2:-1] << 8 | wide[3:]
         inside = (row[:-3] == row[3:]) & (gram != 0x20202020)

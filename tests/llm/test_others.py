@@ -361,3 +361,20 @@ def test_minimisers(values, width):
     h = np.array(values, np.uint64) << np.uint64(40)
     got = spans.minimisers(h, width).tolist()
     assert got == [min(range(k, k + width), key=lambda i: (values[i], i)) for k in range(len(values) - width + 1)]
+
+
+def test_language_runs_take_bounded_memory():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    model = language_id.Model(("a", "b"), 0, np.arange(1 << 18, dtype=np.uint64)[None] % np.uint64(4), np.full(2, 0.1), 3)
+    texts = ["some words of a text " * 50] * 2000
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    tracemalloc.start()
+    said = [x for b in language_id._predict(model)(iter([batch])) for x in zip(*(b.column(i).to_pylist() for i in (1, 2)))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(said) == len(texts) and len(set(said)) == 1
+    assert peak < 40 << 20
