@@ -1,6 +1,7 @@
 import math
 import os
 import random
+import time
 from collections import Counter
 
 import duckdb
@@ -14,7 +15,7 @@ from kindred.config import MULTIPLE, NONE_ID, SINGLE, SYMBOLS, read_env_file
 from kindred.functions import distance
 from kindred.operators import fuzzy, pairs, tfidf
 from kindred.plans import dumps, indexes, lookup, mapping
-from kindred.sources import tables
+from kindred.sources import scratch, tables
 from kindred.streaming import serve
 
 SF = "/root/testdata/sf0.001"
@@ -310,3 +311,31 @@ def test_blocks_are_built_for_the_creators_reached(spark):
     assert any(x.recording_id is not None for x in got)
     answers = {x.req_id: tuple(x)[1:] for x in got}
     assert all(answers[-r - 1] == a for r, a in answers.items() if r >= 0)
+
+
+def test_reach_goes_below_joins(spark):
+    left = spark.range(1000).selectExpr("id AS a", "id * 7 AS b")
+    rows = left.join(spark.range(7000).selectExpr("id AS b", "concat('x-', id) AS name"), "b").select("a", "name")
+    for ids, key in ((spark.range(0, 1000, 100).selectExpr("id AS a"), "a"), (spark.range(0, 7000, 700).selectExpr("concat('x-', id) AS name"), "name")):
+        some = rows.filter(lookup.reach(ids, F.col(key)))
+        plan = some._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Join Inner") < plan.index("getbit")  # as the scans' filter, not above the join
+        assert sorted(some.join(ids, key, "left_semi").collect()) == sorted(rows.join(ids, key, "left_semi").collect()) and some.count() < 30
+    assert rows.filter(lookup.reach(ids.limit(0), F.col("name"))).count() == 0
+
+
+def test_stored_steps_release_their_shuffle_files(spark):
+    def files() -> int:
+        return spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").count("/shuffle_")
+
+    scratch.release(spark)
+    time.sleep(2)
+    before = files()
+    for _ in range(5):
+        lookup.stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "step")
+    one = 3 * 4  # data, index and checksum of each task of one step, which may stay until the next
+    for _ in range(20):
+        if files() <= before + one:
+            break
+        time.sleep(0.5)
+    assert files() <= before + one
