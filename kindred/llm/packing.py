@@ -45,6 +45,9 @@ _SPLIT = re.compile("(?<=[!-~À-ɏ])(?=[ \n])")
 _FINE = re.compile("(?<=[!-~À-ɏ])(?=[ \n])|(?<=[A-Za-zÀ-ÖØ-öø-ɏ])(?=[!-/:-@\\[-`{-~])")
 #: Without these, all places before a space or line end are such places.
 _ODD = re.compile("[ \n][ \n]|[^!-~À-ɏ \n]")
+#: The same for texts of one byte a character, by deleting what is not odd.
+_EVEN = bytes(c for c in range(256) if not _ODD.search(chr(c)))
+_PAIRS = ("  ", " \n", "\n ", "\n\n")
 _LONGEST_KEPT, _MOST_KEPT = 48, 500_000
 #: Characters whose pieces are looked up together.
 _RUN = 1 << 20
@@ -60,6 +63,26 @@ def _byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
 
 
+def _odd(text: str) -> bool:
+    """Whether ``_ODD`` is found."""
+    try:
+        return bool(text.encode("latin-1").translate(None, _EVEN)) or any(p in text for p in _PAIRS)
+    except UnicodeEncodeError:
+        return _ODD.search(text) is not None
+
+
+class _Words(dict):
+    """Words' ids, made when first looked up; ``long``: words that are not to be kept."""
+
+    def __init__(self, make) -> None:
+        self.make, self.long = make, []
+
+    def __missing__(self, word: str) -> bytes:
+        if len(word) > _LONGEST_KEPT:
+            self.long.append(word)
+        return self.make(word)
+
+
 class Encoder:
     """Texts to their ids as little-endian 32-bit bytes.
 
@@ -81,14 +104,14 @@ class Encoder:
         #: Whether words may go to the model.
         self.plain = level.get("type") == "ByteLevel" and level.get("use_regex") and not level.get("add_prefix_space") and made["normalizer"] is None
         #: By a word, for it with the space before it (or its own line end), and by a piece.
-        self.words: dict[str, bytes] = {}
+        self.words = _Words(self.word)
         self.pieces: dict[str, bytes] = {}
 
     def cut(self, text: str) -> tuple[list[str], list[str]]:
         """Pieces, and the words after them."""
         if any(s in text for s in self.special):
             return _SPLIT.split(text), []
-        if _ODD.search(text):
+        if _odd(text):
             return _FINE.split(text), []
         first, *words = text.replace("\n", " \n").split(" ")
         return _FINE.split(first), words
@@ -131,17 +154,14 @@ class Encoder:
                 size += len(texts[at])
                 runs.append(self.cut(texts[at]))
                 at += 1
-            fresh = set().union(*(words for _, words in runs)).difference(self.words)
-            for w in fresh:
-                self.word(w)
             for pieces, words in runs:
                 yield b"".join([*map(self.piece, pieces), *map(self.words.__getitem__, words)])
             for known in (self.words, self.pieces):
                 if len(known) > _MOST_KEPT:
                     known.clear()
-            for x in fresh:
-                if len(x) > _LONGEST_KEPT:
-                    self.words.pop(x, None)
+            for x in self.words.long:
+                self.words.pop(x, None)
+            self.words.long.clear()
 
 
 @functools.cache

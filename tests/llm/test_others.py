@@ -378,3 +378,14 @@ def test_language_runs_take_bounded_memory():
     tracemalloc.stop()
     assert len(said) == len(texts) and len(set(said)) == 1
     assert peak < 40 << 20
+
+
+def test_packing_looks_words_up_once(monkeypatch):
+    encode = packing.Encoder(packing.public_tokenizer())
+    texts = ["one two one", "x" * 60 + " two " + "y" * 60 + " one " + "y" * 60, "é ÿ ò\nlast", "two  gaps\n\nodd", "Ŀ ŀ long\u2009space", ""]
+    want = [encode.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in encode.ids(texts)] == want
+        assert all(len(w) <= 48 for w in encode.words) and not encode.words.long
+    for t in [*texts, *(a + chr(c) + b for c in range(0x250) for a in ("", "a") for b in ("", " ", "\n"))]:
+        assert packing._odd(t) == bool(packing._ODD.search(t)), t
