@@ -293,6 +293,33 @@ def test_equal_prefixes_are_compared_once(spark):
     assert {(x.pos, x.confidence) for x in again} == {(x.pos, x.confidence) for x in got if x.q == 0}
 
 
+def test_a_pair_is_one_row_of_a_shuffle(spark):
+    def written() -> int:
+        jvm = spark._jvm
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+    r = random.Random(9)
+    docs = [(k, "same" + "".join(r.choices("abcdefghijklmnop", k=26))) for k in range(1500)]
+    asked = [f"{x}same" for x in "qrstuvwxyz"] + ["same", docs[7][1]]
+    built = fuzzy.build_index(spark.createDataFrame([(0, p, i, t) for p, (i, t) in enumerate(docs)], "index_id long, pos long, entity_id long, text string"))
+    index = fuzzy.Index(built.docs, built.vocabulary.cache(), built.weights.cache())
+    queries = spark.createDataFrame([(0, t) for t in asked], "index_id long, query string")
+    rows = index.weights.count() + index.vocabulary.count()
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = written()
+        got = fuzzy._cosine(queries, index, fuzzy.THRESHOLD).collect()
+        made = written() - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert len(got) >= 11 * len(docs)
+    assert made <= 2 * rows + 6 * len(got)  # with a row for each of a pair's 28 terms over 28 * len(got)
+    assert [(x.pos, x.confidence) for x in got if x.query == docs[7][1] and x.confidence >= 0.7] == plain_search(docs, docs[7][1])
+
+
 def test_blocks_are_built_for_the_creators_reached(spark):
     asked = engine._rel(spark, SF, "requests").limit(12)
     asked = asked.unionByName(asked.withColumn("req_id", -F.col("req_id") - 1)).cache()
