@@ -13,7 +13,7 @@ from kindred import commands
 from kindred import queries as engine
 from kindred.config import MULTIPLE, NONE_ID, SINGLE, SYMBOLS, read_env_file
 from kindred.functions import distance
-from kindred.operators import fuzzy, pairs, tfidf
+from kindred.operators import cosine, fuzzy, pairs, tfidf
 from kindred.plans import dumps, indexes, lookup, mapping
 from kindred.sources import scratch, tables
 from kindred.streaming import serve
@@ -366,3 +366,30 @@ def test_stored_steps_release_their_shuffle_files(spark):
             break
         time.sleep(0.5)
     assert files() <= before + one
+
+
+def test_documents_are_weighed_in_the_search(spark):
+    r = random.Random(12)
+    step = cosine.PART - 3  # positions of several parts
+    docs = [(k * step, "".join(r.choices("abcé", k=r.choice([0, 2, 5, 9, 40])))) for k in range(90)] + [(7, None)]
+    rows = [(i, p, p, t) for i in (3, 4) for p, t in docs] + [(5, p, p, t) for p, (_, t) in enumerate(docs)]
+    frame = spark.createDataFrame(rows, "index_id long, pos long, entity_id long, text string")
+    asked = [t for _, t in docs[:40]] + ["abcéabc", "zzz", None]
+    queries = spark.createDataFrame([(q, i, t) for q, t in enumerate(asked) for i in (3, 5, 6)], "q long, index_id long, text string")
+    key = lambda x: (x["q"], x["index_id"], x["rank"])
+    got = sorted(fuzzy.search(queries, fuzzy.Index(frame)).collect(), key=key)
+    assert got == sorted(fuzzy.search(queries, fuzzy.build_index(frame)).collect(), key=key)
+    assert {x.index_id for x in got} == {3, 5}
+
+
+def test_no_gram_or_pair_is_shuffled(spark):
+    """A search writes texts to its shuffles, neither their grams nor candidates."""
+    docs = [(0, k, k, f"same{k:06}name") for k in range(3000)]
+    index = fuzzy.Index(spark.createDataFrame(docs, "index_id long, pos long, entity_id long, text string"))
+    queries = spark.createDataFrame([(0, f"same{k:06}nam") for k in range(0, 3000, 10)], "index_id long, query string")
+    found = fuzzy._cosine(queries, index, fuzzy.THRESHOLD, least=fuzzy.THRESHOLD)
+    rows = found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "explode" not in plan and "MapInArrow" in plan
+    assert {(x.query, x.pos) for x in rows} >= {(f"same{k:06}nam", k) for k in range(0, 3000, 10)}
+    assert len(rows) < 300 * 3000 / 4
