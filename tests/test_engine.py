@@ -393,3 +393,22 @@ def test_no_gram_or_pair_is_shuffled(spark):
     assert "explode" not in plan and "MapInArrow" in plan
     assert {(x.query, x.pos) for x in rows} >= {(f"same{k:06}nam", k) for k in range(0, 3000, 10)}
     assert len(rows) < 300 * 3000 / 4
+
+
+def test_large_sides_are_filtered_before_the_mapping_joins(spark, tmp_path):
+    spark.range(2000).selectExpr("id AS o", "id % 50 AS c").write.parquet(f"{tmp_path}/orders")
+    spark.range(40000).selectExpr("id % 2000 AS o", "id AS item").write.parquet(f"{tmp_path}/items")
+    rows = lambda: spark.read.parquet(f"{tmp_path}/items").join(spark.read.parquet(f"{tmp_path}/orders").filter("c = 7"), "o")
+    names = list(lookup.RUNTIME_FILTERS)
+    before = [spark.conf.get(n) for n in names]
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with lookup.runtime_filters(spark):
+            some = rows()
+            assert "might_contain" in some._jdf.queryExecution().optimizedPlan().toString()
+            got = sorted(some.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert [spark.conf.get(n) for n in names] == before
+    assert len(got) == 800 and got == sorted(rows().collect())
